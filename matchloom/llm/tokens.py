@@ -1,28 +1,34 @@
-"""Token ids by the tokenizers library, with words met before kept per worker.
+"""Token ids by the tokenizers library, with pieces met before kept per worker.
 
 Both vocabularies cut a text into words before merging, and no word spans the
-places where texts are cut here, so ids of the pieces, one after the other, are
-the ids of the text.  Pieces not met yet are encoded together by the library.
+places where texts are cut here, so the ids of the pieces, one after the other,
+are the ids of the text.  Pieces not met yet are encoded by the library, many
+in a row with a token between them that none of them holds; texts whose white
+space could join words across a cut are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces whose ids a worker keeps; the store is emptied when full.
-CACHE_PIECES = 500_000
-LONGEST_CACHED = 48
+CACHE_PIECES = 600_000
+LONGEST_CACHED = 20
+_ROW = 5000
+#: White space other than space and line break.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
 
-#: A space beside other white space: there words may join across the space.
-_AWKWARD = re.compile(r" \s|\s ")
-#: Between a character and a single space that another character follows.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
 class PieceTokenizer:
-    """``spaces``: whether a space belongs to the word after it, or is dropped."""
+    """``spaces``: whether a space belongs to the word after it, or is dropped.
+
+    With spaces, a piece is what stands between single spaces and line breaks;
+    one that starts a line carries the line break, and each text is taken as if
+    a line break came before it, whose id is dropped at the end.
+    """
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,55 +37,76 @@ class PieceTokenizer:
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
         self._spaces = spaces
-        self._separator = "\n" if spaces else " \x01 "
-        (self._separator_id,) = self._library.encode(self._separator, add_special_tokens=False).ids
+        self._mark = "\n" if spaces else " \x01 "
+        (self._mark_id,) = self._ids([self._mark])[0]
         self._seen: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _row(self, pieces: list[str], row: str, lead: int) -> list[bytes]:
+        """Ids of pieces from those of a row; ``lead``: ids of the mark that each begins with."""
+        ids = np.array(self._ids([row])[0], np.uint32)
+        marks = 4 * np.flatnonzero(ids == self._mark_id)
+        raw = ids.tobytes()
+        if lead:
+            starts, stops = marks.tolist(), [*marks[1:].tolist(), len(raw)]
+        else:
+            starts, stops = [0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)]
+        if len(starts) != len(pieces):
+            raise ValueError("a piece holds the mark between pieces")
+        return [raw[a:b] for a, b in zip(starts, stops, strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        lines = [p for p in new if p[:1] == "\n"] if self._spaces else []
+        words = [p for p in new if p[:1] != "\n"] if self._spaces else new
+        for at in range(0, len(lines), _ROW):
+            part = lines[at : at + _ROW]
+            found.update(zip(part, self._row(part, "".join(part), 1), strict=True))
+        glue = self._mark + " " if self._spaces else self._mark
+        for at in range(0, len(words), _ROW):
+            part = words[at : at + _ROW]
+            row = (" " if self._spaces else "") + glue.join(part)
+            found.update(zip(part, self._row(part, row, 0), strict=True))
+        return found
+
+    def _pieces(self, text: str) -> list[str] | None:
+        """None if the text must be encoded whole."""
         if not self._spaces:
-            return text.replace("\n", " ").split(" ")
-        if _AWKWARD.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + r for r in rest]]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces in a row, told apart by a token that none of them holds."""
-        mark = self._separator.strip() or "\n"
-        plain = [i for i, p in enumerate(pieces) if len(p.split()) == 1 and mark not in p]
-        out: list[bytes | None] = [None] * len(pieces)
-        if plain:
-            row = self._separator.join([pieces[i] for i in plain])
-            ids = np.array(self._library.encode(row, add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self._separator_id)
-            if len(ends) == len(plain) - 1:
-                raw = ids.tobytes()
-                starts = [0, *(4 * ends + 4).tolist()]
-                for i, a, b in zip(plain, starts, [*(4 * ends).tolist(), len(raw)], strict=True):
-                    out[i] = raw[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self._library.encode_batch([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32).tobytes()
-        return out
+            return None if "\x01" in text else text.replace("\n", " ").split(" ")
+        if any(map(text.__contains__, _OTHER_SPACE)):
+            return None
+        pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        # two spaces in a row, or one at an end
+        return None if "" in pieces or "\n" in pieces else pieces
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The uint32 ids of each text."""
-        cut = [self.pieces(t or "") for t in texts]
-        seen = self._seen
-        if len(seen) > CACHE_PIECES:
-            seen.clear()
-        new = list(set().union(*cut).difference(seen))
-        local: dict[str, bytes] = {}
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for piece, ids in zip(part, self._encode_pieces(part), strict=True):
-                (seen if len(piece) <= LONGEST_CACHED else local)[piece] = ids
-        if local:
-            return [
-                np.frombuffer(b"".join([seen[p] if p in seen else local[p] for p in ps]), np.uint32) for ps in cut
-            ]
-        get = seen.__getitem__
-        return [np.frombuffer(b"".join(map(get, ps)), np.uint32) for ps in cut]
+        flat: list[str] = []
+        ends, whole = [], []
+        for i, text in enumerate(texts):
+            pieces = self._pieces(text or "")
+            if pieces is None:
+                whole.append(i)
+            else:
+                flat += pieces
+            ends.append(len(flat))
+        if len(self._seen) > CACHE_PIECES:
+            self._seen.clear()
+        raws = list(map(self._seen.get, flat))
+        new = list(dict.fromkeys([p for p, r in zip(flat, raws, strict=True) if r is None]))
+        if new:
+            found = self._learn(new)
+            raws = [found[p] if r is None else r for p, r in zip(flat, raws, strict=True)]
+            self._seen.update([(p, found[p]) for p in new if len(p) <= LONGEST_CACHED])
+        skip = 4 if self._spaces else 0
+        out = [
+            np.frombuffer(b"".join(raws[a:b])[skip:], np.uint32) for a, b in zip([0, *ends], ends, strict=False)
+        ]
+        for i, ids in zip(whole, self._ids([texts[i] or "" for i in whole]), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=4)
