@@ -13,6 +13,8 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps; the store is emptied when full.
 CACHE_PIECES = 600_000
@@ -71,57 +73,69 @@ class PieceTokenizer:
             found.update(zip(part, self._row(part, row, 0), strict=True))
         return found
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """None if the text must be encoded whole."""
+    def _spaced(self, text: str) -> str | None:
+        """The text with a space between pieces; None if it must be encoded whole."""
         if not self._spaces:
-            return None if "\x01" in text else text.replace("\n", " ").split(" ")
+            return None if "\x01" in text else text.replace("\n", " ")
         if any(map(text.__contains__, _OTHER_SPACE)):
             return None
-        pieces = ("\n" + text).replace("\n", " \n")[1:].split(" ")
-        # two spaces in a row, or one at an end
-        return None if "" in pieces or "\n" in pieces else pieces
+        text = ("\n" + text).replace("\n", " \n")[1:]
+        # two spaces in a row, one at an end, or a line break by itself
+        return None if "  " in text or "\n " in text or text.endswith((" ", "\n")) else text
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The uint32 ids of each text."""
-        flat: list[str] = []
-        ends, whole = [], []
-        for i, text in enumerate(texts):
-            pieces = self._pieces(text or "")
-            if pieces is None:
-                whole.append(i)
-            else:
-                flat += pieces
-            ends.append(len(flat))
-        if len(self._seen) > CACHE_PIECES:
-            self._seen.clear()
-        raws = list(map(self._seen.get, flat))
-        new = list(dict.fromkeys([p for p, r in zip(flat, raws, strict=True) if r is None]))
-        if new:
-            found = self._learn(new)
-            raws = [found[p] if r is None else r for p, r in zip(flat, raws, strict=True)]
-            self._seen.update([(p, found[p]) for p in new if len(p) <= LONGEST_CACHED])
-        skip = 4 if self._spaces else 0
-        out = [
-            np.frombuffer(b"".join(raws[a:b])[skip:], np.uint32) for a, b in zip([0, *ends], ends, strict=False)
-        ]
-        for i, ids in zip(whole, self._ids([texts[i] or "" for i in whole]), strict=True):
-            out[i] = np.array(ids, np.uint32)
+        spaced = [self._spaced(t or "") for t in texts]
+        whole = [i for i, t in enumerate(spaced) if t is None]
+        # each different piece is looked up once; Arrow puts their ids in the order of the texts
+        pieces = pc.split_pattern(pa.array([t for t in spaced if t is not None], pa.string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        table = pa.array(self._known(coded.dictionary.to_pylist()), pa.binary())
+        taken = table.take(coded.indices)
+        _, offsets, data = taken.buffers()
+        ids = np.frombuffer(data or b"", np.uint32)
+        ends = np.frombuffer(offsets or b"\0" * 4, np.int32, len(taken) + 1)[pieces.offsets.to_numpy()] // 4
+        skip = 1 if self._spaces else 0
+        out = [ids[a + skip : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for i, found in zip(whole, self._ids([texts[i] or "" for i in whole]), strict=True):
+            out.insert(i, np.array(found, np.uint32))
         return out
 
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces as bytes."""
+        raws = list(map(self._seen.get, pieces))
+        new = [i for i, r in enumerate(raws) if r is None]
+        if new:
+            found = self._learn([pieces[i] for i in new])
+            if len(self._seen) + len(new) > CACHE_PIECES:
+                self._seen.clear()
+            for i in new:
+                raws[i] = found[pieces[i]]
+            self._seen.update([(p, r) for p, r in found.items() if len(p) <= LONGEST_CACHED])
+        return raws
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, spaces: bool) -> PieceTokenizer:
     return PieceTokenizer(path, spaces)
 
 
-def batches_of(texts: list, most_chars: int = 4_000_000):
+def batches_of(texts: list, most_chars: int = 8_000_000):
     """Slices of a list of texts that hold about ``most_chars`` at most."""
-    start, chars = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if chars and chars + n > most_chars:
+    yield from _slices([len(t) if t else 0 for t in texts], most_chars)
+
+
+def slices(texts, most_bytes: int = 4_000_000):
+    """Slices of an Arrow array of texts that hold about ``most_bytes`` at most."""
+    yield from _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most_bytes)
+
+
+def _slices(sizes: list[int], most: int):
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
             yield start, i
-            start, chars = i, 0
-        chars += n
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
