@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .tokens import slices
 
 #: Words whose encodings a worker keeps; the store is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 LONGEST_CACHED = 32
 
 
@@ -179,7 +179,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, words, seen = _worker(path, pattern)
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
+            for start, stop in slices(batch.column(1), 2_000_000):
                 flat, ends = [], [0]
                 for text in batch.column(1).slice(start, stop - start).to_pylist():
                     flat += words.findall(text or "")
