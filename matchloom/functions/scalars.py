@@ -215,3 +215,23 @@ def version_label(at: Column) -> Column:
 def match_time(raw: Column) -> Column:
     """20260715T120000.000Z as a timestamp; null where it is none."""
     return F.try_to_timestamp(F.substring(raw, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
+
+
+def success_delay_minutes(empty: Column, usual: float = 120, quiet: float = 720) -> Column:
+    return F.when(empty, F.lit(float(quiet))).otherwise(float(usual))
+
+
+def exceeds_guard(move_ratio: Column, first_run: Column, guard: float = 0.25) -> Column:
+    """Whether too many tiers move at once; the first run of all is free."""
+    return ~first_run & (move_ratio > guard)
+
+
+def significant(old_tier: Column, tier: Column, old_score: Column, score: Column, least: float = 1.0) -> Column:
+    """A new entry, another tier, or a score that moved by more than ``least``."""
+    return old_tier.isNull() | (old_tier != tier) | (F.abs(score - old_score) > least)
+
+
+def upstream_status(body: Column) -> Column:
+    """The status that a gateway's error body wraps, or null where the error is its own."""
+    wrapped = F.get_json_object(body, "$.error") == "upstream_api_error"
+    return F.when(wrapped, F.get_json_object(body, "$.upstreamStatus").try_cast("int"))

@@ -79,3 +79,15 @@ def run_counts(**outputs: DataFrame) -> DataFrame:
         one = rows.agg(F.lit(scope).alias("scope"), F.count("*").alias("rows"), F.count_if(bad).alias("unreconciled"))
         counted = one if counted is None else counted.union(one)
     return counted
+
+
+def run(participations: DataFrame, matches: DataFrame, teams: DataFrame, entities: DataFrame, path: str) -> DataFrame:
+    """A whole aggregation run: three outputs below ``path``, then their counts as read back."""
+    facts = participation_facts(participations, matches, teams)
+    outputs = {
+        "per_mode": mode_aggregate(facts, entities), "overall": overall_aggregate(facts, entities),
+        "matchup": matchup_aggregate(participations, matches, teams, entities),
+    }
+    for scope, rows in outputs.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{scope}")
+    return run_counts(**{scope: participations.sparkSession.read.parquet(f"{path}/{scope}") for scope in outputs})

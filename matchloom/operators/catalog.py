@@ -90,3 +90,12 @@ def infer_version(changes: DataFrame, versions: DataFrame, at) -> DataFrame:
         "label", F.when(F.col("changed") & (F.col("status") == "active"), "superseded").otherwise(F.col("status")).alias("status"))
     new = changed.where("changed").select(scalars.version_label(at).alias("label"), F.lit("active").alias("status"))
     return old.unionByName(new)
+
+
+def sub_items(items: DataFrame, item: str = "item", field: str = "starPowers") -> DataFrame:
+    """Well-formed sub-items of each item, by id, and how many were dropped."""
+    kind = "array<struct<id:string,name:string>>"
+    raw = F.coalesce(F.from_json(item, f"struct<{field}:{kind}>")[field], F.array().cast(kind))
+    clean = F.transform(raw, lambda s: F.struct(scalars.clean_text(s["id"]).alias("id"), scalars.clean_text(s["name"]).alias("name")))
+    good = F.array_sort(F.filter(clean, lambda s: s["id"].isNotNull() & s["name"].isNotNull()))
+    return items.select(*[c for c in items.columns if c != item], good.alias("sub_items"), (F.size(raw) - F.size(good)).alias("dropped"))

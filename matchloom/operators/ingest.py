@@ -155,3 +155,53 @@ def observed_players(raw: DataFrame, tag: str, order: list[str]) -> DataFrame:
     """Valid tags only, the first sighting of each."""
     clean = raw.where(scalars.tag_problem(F.col(tag)).isNull()).withColumn("tag", scalars.tag(F.col(tag)))
     return clean.withColumn("_n", F.row_number().over(Window.partitionBy("tag").orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def envelope_objects(landed: DataFrame, body: str = "body") -> DataFrame:
+    """Whether each envelope holds one object, and the object's text."""
+    e = F.from_json(body, "struct<ok:boolean,payload:string>")
+    ok = F.coalesce(e["ok"] & F.trim(e["payload"]).startswith("{"), F.lit(False))
+    return landed.withColumn("accepted", ok).withColumn("object", F.when(ok, e["payload"]))
+
+
+def upsert_players(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Players after a profile sync, with the name that a rename leaves behind.
+
+    Both: player_id, name, club_id, pending_club; current also is_reachable.
+    A profile replaces all it holds and makes the player reachable again; a
+    club that is known leaves nothing pending.
+    """
+    new = incoming.select("player_id", F.col("name").alias("_name"), F.col("club_id").alias("_club"), F.col("pending_club").alias("_pending"),
+                          F.lit(True).alias("_seen"))
+    both = current.withColumn("_known", F.lit(True)).join(new, "player_id", "full_outer")
+    seen = F.coalesce("_seen", F.lit(False))
+    return both.select(
+        "player_id", F.when(seen, F.col("_name")).otherwise(F.col("name")).alias("name"),
+        F.when(seen, F.col("_club")).otherwise(F.col("club_id")).alias("club_id"),
+        F.when(seen, F.when(F.col("_club").isNull(), F.col("_pending"))).otherwise(F.col("pending_club")).alias("pending_club"),
+        F.coalesce("_seen", "is_reachable").alias("is_reachable"),
+        F.when(F.col("_known") & seen & (F.col("name") != F.col("_name")), F.col("name")).alias("previous_name"),
+        F.when(F.col("_known").isNull(), "new").when(~seen, "kept").when(F.col("name") != F.col("_name"), "renamed").otherwise("same").alias("action"),
+    )
+
+
+def mark_unreachable(players: DataFrame, failed: DataFrame) -> DataFrame:
+    """Players with (player_id, reason) in ``failed`` are reachable no more."""
+    return players.join(failed.select("player_id", F.col("reason").alias("_reason")), "player_id", "left").select(
+        *[c for c in players.columns if c != "is_reachable"],
+        F.when(F.col("_reason").isNotNull(), F.lit(False)).otherwise(F.col("is_reachable")).alias("is_reachable"),
+        F.col("_reason").alias("unreachable_reason"))
+
+
+def timestamps(raw: Column) -> Column:
+    """Database or ISO date-times of any offset as UTC milliseconds text; null where there is none.
+
+    Dates without a time are midnight; zero dates and days that the calendar
+    lacks are none.
+    """
+    text = F.trim(raw)
+    shape = text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?$") & ~text.rlike("^0000-00-00")
+    # longer fractions are cut, not rounded
+    short = F.regexp_replace(text, r"(\.\d{3})\d+", "$1")
+    at = F.try_to_timestamp(F.when(shape, short))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

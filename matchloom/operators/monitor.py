@@ -90,3 +90,33 @@ def reconcile_alerts(open_alerts: DataFrame, firing: DataFrame) -> DataFrame:
         F.when(F.col("new_severity").isNull(), F.col("occurrences")).otherwise(F.coalesce("occurrences", F.lit(0)) + 1).alias("occurrences"),
         F.when(F.col("new_severity").isNull(), "resolved").when(F.col("occurrences").isNull(), "opened").otherwise("bumped").alias("action"),
     )
+
+
+#: What is recommended, in this order, when capacity is critical.  Nothing of it destroys data.
+RESPONSES = (
+    "raise_critical_capacity_alert", "freeze_rebuildable_producers", "keep_canonical_ingestion_running",
+    "request_additional_capacity", "pause_canonical_writers_if_write_safety_threatened", "keep_public_reads_online",
+)
+
+
+def response_plan(levels: DataFrame) -> DataFrame:
+    """Recommended actions for each row whose ``level`` is critical."""
+    actions = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(a).alias("action")) for i, a in enumerate(RESPONSES)])
+    return levels.where(F.col("level") == "critical").select(*levels.columns, F.explode(actions).alias("a")).select(
+        *levels.columns, "a.step", "a.action")
+
+
+def table_sizes(spark, paths: dict[str, str]) -> DataFrame:
+    """(name, rows, bytes) of tables by path: sizes from the store's listing, rows by a count."""
+    out = None
+    for name, path in paths.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        one = spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.lit(size).cast("long").alias("bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def days_to_limit(total: Column, limit: Column, growth: Column) -> Column:
+    """Null where growth is unknown or not above zero."""
+    return F.when(growth > 0, (limit - total) / growth)

@@ -125,6 +125,11 @@ def qualifying_matchups(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _stored_score(raw: Column) -> Column:
+    """Two decimals as a decimal column would keep them: ties go up, binary noise below 1e-10 aside."""
+    return F.round(raw.cast("decimal(18,10)"), 2).cast("double")
+
+
 def rank_entities(capped: DataFrame, candidates: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) -> DataFrame:
     """The overall ranking: rates rounded as they are stored, tiers unrounded."""
     rows = (
@@ -144,7 +149,7 @@ def rank_entities(capped: DataFrame, candidates: DataFrame, as_of: Column, rules
     gate = scalars.high_gate(F.coalesce("recent", F.lit(False)), F.col("regions"), F.col("brackets"))
     return percentile_tiers(scored, "raw_score").select(
         "entity_id", "matches", F.col("rate").alias("win_rate"), F.col("pick").alias("pick_rate"),
-        F.col("high").alias("high_rate"), F.round("raw_score", 2).alias("score"), F.round("percentile", 4).alias("percentile"),
+        F.col("high").alias("high_rate"), _stored_score(F.col("raw_score")).alias("score"), F.round("percentile", 4).alias("percentile"),
         "tier", scalars.confidence(F.col("matches"), gate).alias("confidence"),
     )
 
@@ -162,7 +167,7 @@ def rank_modes(capped: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) ->
     gate = scalars.high_gate(F.coalesce("recent", F.lit(False)), F.col("regions"), F.col("brackets"))
     return percentile_tiers(scored, "raw_score", ["mode"]).join(strata, "entity_id", "left").select(
         "entity_id", "mode", "matches", F.col("rate").alias("win_rate"), F.col("pick").alias("pick_rate"),
-        F.round("raw_score", 2).alias("score"), "tier",
+        _stored_score(F.col("raw_score")).alias("score"), "tier",
         scalars.confidence(F.col("matches"), gate, (30, 60, 150)).alias("confidence"),
     )
 

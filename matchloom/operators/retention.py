@@ -121,3 +121,50 @@ def trend_rollup(rows: DataFrame, keys: list[str], run: str) -> DataFrame:
     """One row per natural key: that of the latest run."""
     w = Window.partitionBy(*keys).orderBy(F.desc(run))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def scoped_deletion(children: DataFrame, key: str, allowlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what stays, counts per allowed key before and after); keys not listed are never touched."""
+    ids = allowlist.select(key).distinct()
+    kept = children.join(ids, key, "left_anti")
+    before = children.join(ids, key, "left_semi").groupBy(key).agg(F.count("*").alias("before"))
+    after = kept.join(ids, key, "left_semi").groupBy(key).agg(F.count("*").alias("after"))
+    return kept, ids.join(before, key, "left").join(after, key, "left").select(
+        key, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def exact_allowlist(ids: list[str]) -> list[str]:
+    """Only ids, each once; patterns and words like ``all`` are refused."""
+    bad = [i for i in ids if not i or "*" in i or "%" in i or i.lower() == "all"]
+    if bad or not ids:
+        raise ValueError(f"an allowlist holds plain ids only: {bad}")
+    return sorted(set(ids))
+
+
+def player_safeguard(players: DataFrame, participations: DataFrame) -> DataFrame:
+    """Why a player stays; routine retention never removes one."""
+    df = _flag(players, participations, "player_id", "_used")
+    reasons = all_reasons(
+        ("active_or_reachable", F.col("is_reachable")), ("participant_referenced", F.col("_used")),
+        ("no_approved_merge_evidence", F.lit(True)))
+    return df.select("player_id", F.lit(False).alias("deletable"), reasons.alias("reasons"))
+
+
+def removed_payloads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows after a sweep, manifest): payloads without a reason to stay become null."""
+    goes = F.col("reason").isNull()
+    swept = rows.withColumn("payload", F.when(~goes, F.col("payload")))
+    manifest = rows.agg(F.count_if(goes).alias("removed"), F.count_if(~goes).alias("kept"),
+                        F.coalesce(F.sum(F.when(goes, F.octet_length("payload"))), F.lit(0)).alias("bytes"))
+    return swept, manifest
+
+
+def lock_actions(locks: DataFrame, watermark: Column, ttl_s: Column, ttls: Column) -> DataFrame:
+    """What becomes of locks whose ``locked_at`` is missing: repaired from the
+    expiry where the time to live is certain, skipped where it is not, and an
+    error where the lock is still live."""
+    missing = F.col("locked_at").isNull()
+    action = (
+        F.when(~missing, "copy").when(F.col("expires_at") > watermark, "error").when(ttls == 1, "repair").otherwise("skip"))
+    fixed = F.when(action == "repair", F.col("expires_at") - F.make_interval(secs=ttl_s)).otherwise(F.col("locked_at"))
+    return locks.withColumn("action", action).withColumn("locked_at", fixed)

@@ -88,3 +88,13 @@ def rate_budget(requests: DataFrame, window_s: int, ceiling: int, reserve: int,
     used = F.least(plain, F.lit(usable)) + urgent
     granted = F.when(F.col("priority"), used <= ceiling).otherwise((plain <= usable) & (used <= ceiling))
     return requests.withColumn("slot", slot).withColumn("granted", granted)
+
+
+def seed_schedule(current: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The schedule after a seed refresh: a known region stays, the bracket follows the seed.
+
+    Both: player, region, bracket.
+    """
+    new = seeds.select("player", F.col("region").alias("_region"), F.col("bracket").alias("_bracket"))
+    return current.join(new, "player", "full_outer").select(
+        "player", F.coalesce("region", "_region").alias("region"), F.coalesce("_bracket", "bracket").alias("bracket"))

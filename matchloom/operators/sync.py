@@ -115,3 +115,21 @@ def schema_problems(source: DataFrame, target: DataFrame) -> list[str]:
         f"{f.name}: {'missing' if f.name not in want else want[f.name].simpleString()}"
         for f in source.schema.fields if want.get(f.name) != f.dataType
     ]
+
+
+def columns_of(df: DataFrame) -> DataFrame:
+    """(position, name, type) of a table's columns."""
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")
+
+
+def overlap_range(rows: DataFrame, at: str, cursor: Column, overlap_s: int, watermark: Column) -> DataFrame:
+    """Rows of one pass: from a little before the cursor up to the pass's fixed watermark."""
+    return rows.where((F.col(at) >= cursor - F.make_interval(secs=F.lit(overlap_s))) & (F.col(at) <= watermark))
+
+
+def same_rows(source: DataFrame, target: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Keys whose row is missing on one side or differs; empty when the copy is exact."""
+    s = source.select(key, row_checksum(source, columns).alias("_s"))
+    t = target.select(key, row_checksum(target, columns).alias("_t"))
+    return s.join(t, key, "full_outer").where(~F.col("_s").eqNullSafe(F.col("_t"))).select(key)

@@ -250,7 +250,7 @@ def overall_ranking(v: Views) -> DataFrame:
 
 
 @query("r5_final_ranking", f"""
-SELECT entity_id, matches, rate AS win_rate, pick AS pick_rate, high AS high_rate, round(raw_score, 2) AS score, round(p, 4) AS percentile,
+SELECT entity_id, matches, rate AS win_rate, pick AS pick_rate, high AS high_rate, CAST(round(CAST(raw_score AS DECIMAL(18, 10)), 2) AS DOUBLE) AS score, round(p, 4) AS percentile,
   {TIER} AS tier, CASE WHEN matches < 100 THEN 'insufficient' WHEN matches < 200 THEN 'low' WHEN matches >= 500 AND {GATE} THEN 'high'
     ELSE 'medium' END AS confidence FROM ({RANKED})""")
 def r5(v):
@@ -258,7 +258,7 @@ def r5(v):
 
 
 @query("r3_mode_candidates", f"""
-SELECT x.entity_id, mode, matches, rate AS win_rate, pick AS pick_rate, round(raw_score, 2) AS score, {TIER} AS tier,
+SELECT x.entity_id, mode, matches, rate AS win_rate, pick AS pick_rate, CAST(round(CAST(raw_score AS DECIMAL(18, 10)), 2) AS DOUBLE) AS score, {TIER} AS tier,
   CASE WHEN matches < 30 THEN 'insufficient' WHEN matches < 60 THEN 'low' WHEN matches >= 150 AND {GATE} THEN 'high' ELSE 'medium' END AS confidence
 FROM (SELECT *, cume_dist() OVER (PARTITION BY mode ORDER BY raw_score) * 100 AS p FROM (
   SELECT *, (rate * 0.7 + pick * 0.3) * 100 AS raw_score FROM (
