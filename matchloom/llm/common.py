@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +53,42 @@ def discard(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column has, for columns of an operator's own."""
+    prefix = "_ml"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def others(columns: list[str], *added: str) -> list[str]:
+    """The columns that stay beside added ones: those of the same name, in any case, give way."""
+    taken = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def map_beside(df: DataFrame, run, added: list[StructField]) -> DataFrame:
+    """``mapInArrow`` that adds columns, whatever the names of the others.
+
+    ``run`` sees plain names (a dot in a name stops ``mapInArrow``) and gives
+    the batch's columns, then the added ones.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    same = [StructField(n, f.dataType, True) for n, f in zip(plain, df.schema.fields, strict=True)]
+    out = df.toDF(*plain).mapInArrow(run, StructType([*same, *added]))
+    return out.toDF(*df.columns, *[a.name for a in added])
+
+
 def crc32_text(col: Column) -> Column:
     """CRC-32 of a value's decimal text."""
     return F.crc32(col.cast("string").cast("binary"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def prefix_sums(values: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array<int>, in blocks.
 
@@ -75,15 +107,15 @@ def prefix_sums(values: Column, block: int = 256) -> Column:
             lambda acc: acc["sums"],
         )
 
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.size(values), F.lit(block)),
-        lambda at: running(F.slice(values, at, F.lit(block))),
-    )
-    base = F.concat(
-        F.array(F.lit(0)),
-        running(F.transform(blocks, lambda sums: F.element_at(sums, -1))),
-    )
-    joined = F.flatten(
-        F.transform(blocks, lambda sums, i: F.transform(sums, lambda x: x + F.get(base, i)))
-    )
-    return F.when(F.size(values) > 0, joined).otherwise(F.array().cast("array<int>"))
+    def joined(blocks: Column) -> Column:
+        base = F.concat(F.array(F.lit(0)), running(F.transform(blocks, lambda sums: F.element_at(sums, -1))))
+        return let(base, lambda base: F.flatten(
+            F.transform(blocks, lambda sums, i: let(F.get(base, i), lambda before: F.transform(sums, lambda x: x + before)))
+        ))
+
+    def cut(values: Column) -> Column:
+        return let(F.transform(
+            F.sequence(F.lit(1), F.size(values), F.lit(block)), lambda at: running(F.slice(values, at, F.lit(block)))
+        ), joined)
+
+    return F.when(F.size(values) > 0, let(values, cut)).otherwise(F.array().cast("array<int>"))

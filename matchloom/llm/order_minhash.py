@@ -19,15 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 _POS_BITS = 24
 _POS = (1 << _POS_BITS) - 1
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
     """array<int>: bucket * 65536 + 16-bit pair hash, for each bucket in use.
 
@@ -63,7 +60,7 @@ def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
             return F.flatten(F.transform(
                 starts, lambda at, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - at - 1)
             ))
-        return _let(run_starts(s, lambda x: x.bitwiseAND(high)), body)
+        return let(run_starts(s, lambda x: x.bitwiseAND(high)), body)
 
     def elements(s: Column) -> Column:
         return F.sort_array(F.zip_with(
@@ -85,7 +82,7 @@ def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
         return F.transform(run_starts(e, bucket), slot)
 
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return _let(_let(_let(words, kmers), elements), slots)
+    return let(let(let(words, kmers), elements), slots)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -10,7 +10,8 @@ class.  Candidates that match an allow-list pattern are suppressed.
 
 Positions are code points, end exclusive.  A null text counts as empty; an
 empty text has no spans.  Repeated rows are scanned each for itself, and other
-columns of the input pass through untouched.
+columns of the input pass through untouched; only one of the output column's
+name gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_sums
+from .common import free_prefix, let, others, prefix_sums
 
 ASSIGN = (
     r"(?i)(password|passwd|secret|token|api_?key)"
@@ -49,12 +50,11 @@ ALLOW = (
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-
-
-def _ends(found: Column, pieces: Column) -> Column:
-    """End positions: piece and match lengths alternate from the start."""
-    steps = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
-    return prefix_sums(steps)
+def _ends(text: Column, pattern: str, found: Column) -> Column:
+    """End positions of matches: pieces and matches alternate from the start."""
+    def steps(pieces: Column) -> Column:
+        return F.transform(found, lambda m, i: F.length(m) + F.length(F.get(pieces, i)))
+    return let(let(F.split(text, pattern, -1), steps), prefix_sums)
 
 
 def _no_spans() -> Column:
@@ -173,22 +173,23 @@ def find_secrets(
     run = r"[A-Za-z0-9+/_=-]"
     candidate = rf"(?<!{run})(?=[A-Za-z+/_=-]*[0-9]){run}{{{window},}}"
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "cand": candidate}
-    keep = docs.columns
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    keep = others(docs.columns, out_col)
+    own = free_prefix(docs.columns)
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
-    df = docs.withColumn("_ml_text", t)
+    df = docs.withColumn(f"{own}_text", t)
     df = df.select("*", *[
-        F.regexp_extract_all("_ml_text", F.lit(p), F.lit(0)).alias(f"_ml_m_{k}") for k, p in patterns.items()
+        F.regexp_extract_all(f"{own}_text", F.lit(p), F.lit(0)).alias(f"{own}_m_{k}") for k, p in patterns.items()
     ])
     df = df.select("*", *[
-        F.when(F.size(f"_ml_m_{k}") > 0, _ends(F.col(f"_ml_m_{k}"), F.split("_ml_text", p, -1)))
-        .otherwise(F.array().cast("array<int>")).alias(f"_ml_e_{k}")
+        F.when(F.size(f"{own}_m_{k}") > 0, _ends(F.col(f"{own}_text"), p, F.col(f"{own}_m_{k}")))
+        .otherwise(F.array().cast("array<int>")).alias(f"{own}_e_{k}")
         for k, p in patterns.items()
     ])
 
     def spans(kind: str, ok) -> Column:
         rank = KINDS.index(kind)
-        found, ends = F.col(f"_ml_m_{kind}"), F.col(f"_ml_e_{kind}")
+        found, ends = F.col(f"{own}_m_{kind}"), F.col(f"{own}_e_{kind}")
         made = F.zip_with(found, ends, lambda m, e: F.struct(
             (e - F.length(m)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"),
             F.lit(kind).alias("kind"), ok(m).alias("ok"),
@@ -202,7 +203,7 @@ def find_secrets(
         spans("access", lambda m: F.lit(True)),
         spans("hex", lambda m: F.lit(True)),
     )
-    df = df.withColumn("_ml_base", base)
+    df = df.withColumn(f"{own}_base", base)
 
     def allowed(c: Column) -> Column:
         hit = F.lit(False)
@@ -212,24 +213,24 @@ def find_secrets(
 
     scanned = F.transform(
         F.filter(
-            F.zip_with("_ml_m_cand", "_ml_e_cand", lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("at"))),
+            F.zip_with(f"{own}_m_cand", f"{own}_e_cand", lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("at"))),
             lambda c: ~allowed(c["m"]),
         ),
         lambda c: F.struct(c["at"].alias("at"), _entropy(c["m"], window, hex_bits, base64_bits).alias("r")),
     )
-    df = df.withColumn("_ml_scan", F.when(F.size("_ml_m_cand") > 0, scanned))
+    df = df.withColumn(f"{own}_scan", F.when(F.size(f"{own}_m_cand") > 0, scanned))
 
     def entropy_spans(kind: str, name: str) -> Column:
-        hits = F.filter("_ml_scan", lambda c: c["r"][f"{name}_first"] >= 0)
+        hits = F.filter(f"{own}_scan", lambda c: c["r"][f"{name}_first"] >= 0)
         return F.transform(hits, lambda c: F.struct(
             (c["at"] + c["r"][f"{name}_first"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
             (c["at"] + c["r"][f"{name}_last"]).alias("end"), F.lit(kind).alias("kind"))).cast(_SPANS)
 
     added = F.filter(
         F.concat(entropy_spans("entropy_hex", "hex"), entropy_spans("entropy_base64", "b64")),
-        lambda s: ~F.exists("_ml_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
+        lambda s: ~F.exists(f"{own}_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
     )
-    every = F.when(F.col("_ml_scan").isNull(), F.col("_ml_base")).otherwise(F.concat("_ml_base", added))
+    every = F.when(F.col(f"{own}_scan").isNull(), F.col(f"{own}_base")).otherwise(F.concat(f"{own}_base", added))
     return df.select(*[F.col(f"`{c}`") for c in keep], F.sort_array(every).alias(out_col))
 
 
@@ -242,7 +243,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
 
     A null text stays null.  Rows and other columns stay as they are.
     """
-    spans, text = F.col("_ml_spans"), F.col(f"`{text_col}`")
+    name = f"{free_prefix(docs.columns)}_spans"
+    spans, text = F.col(name), F.col(f"`{text_col}`")
     folded = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
@@ -255,6 +257,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET
         ),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    found = find_secrets(docs, text_col, out_col="_ml_spans", **options)
+    found = find_secrets(docs, text_col, out_col=name, **options)
     clean = F.when(F.size(spans) > 0, folded).otherwise(text)
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
