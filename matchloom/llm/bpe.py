@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_beside, others
 from .tokens import slices
 
 #: Words whose encodings a worker keeps; the store is emptied when full.
@@ -201,10 +202,10 @@ def encode_texts(
 
 def decode_ids(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = None, out_col: str = "decoded") -> DataFrame:
     """Add ``out_col``: the bytes that the ids stand for.  Null ids give null."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
+    from pyspark.sql.types import BinaryType, StructField
 
     path = ranks_path or default_ranks_path()
-    names = [n for n in encoded.columns if n != out_col]
+    names = others(encoded.columns, out_col)
     place = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,7 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None
                 made = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends)), data])
                 if ids.null_count:
                     made = pc.if_else(ids.is_valid(), made, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, made], [*names, out_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out_col])
 
     kept = encoded.select(*[F.col(f"`{n}`") for n in names])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out_col, BinaryType())]))
+    return map_beside(kept, run, [StructField(out_col, BinaryType())])

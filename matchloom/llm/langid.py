@@ -11,7 +11,8 @@ texts show by a wide margin, longer texts being held closer to the mean.
 Only the text is read for a prediction.  The sample holds at most
 ``max_per_language`` documents of each of at most ``max_languages`` languages
 (the most frequent), chosen by a hash of their id; each is read whole, as is
-every text that is scored.
+every text that is scored.  Texts that a model of the sample's other half
+rejects are not learned from, so a wrong label does not make junk acceptable.
 
 Edge cases: a null text and one without letters give ``und`` with score 0, as
 does every text if nothing was learned; ties go to the first language by name;
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_beside, others
+
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
@@ -251,16 +254,28 @@ def fit(docs: DataFrame, max_per_language: int = 200, max_languages: int = 64, a
     samples: dict[str, list] = {}
     for r in sorted({(r["lang"], r["doc_id"], r["text"] or "") for r in rows.toLocalIterator()}):
         samples.setdefault(r[0], []).append(r[2])
-    return train(samples, **options)
+    return train(_own(samples, **options), **options)
+
+
+def _own(samples: dict[str, list], **options) -> dict[str, list]:
+    """Samples without the texts that a model of the other half rejects: some labels are wrong."""
+    halves = [{x: texts[i::2] for x, texts in samples.items()} for i in (0, 1)]
+    models = [train(h, **options) for h in halves]
+    kept: dict[str, list] = {}
+    for half, model in zip(halves, models[::-1], strict=True):
+        for x, texts in half.items():
+            fits = [t for t, (_, _, out) in zip(texts, model.classify(texts), strict=True) if not out] if model.languages else texts
+            kept[x] = kept.get(x, []) + fits
+    return kept
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred, score and rejected to every row; other columns pass through."""
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
+    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = [("lang_pred", StringType(), pa.string()), ("score", DoubleType(), pa.float64()), ("rejected", BooleanType(), pa.bool_())]
-    names = [n for n in docs.columns if n not in {a for a, _, _ in added}]
+    names = others(docs.columns, *[a for a, _, _ in added])
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +283,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             made = fitted.classify(batch.column(place).to_pylist())
             columns = [pa.array([m[i] for m in made], t) for i, (_, _, t) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, *[a for a, _, _ in added]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[a for a, _, _ in added]])
 
     kept = docs.select(*[F.col(f"`{n}`") for n in names])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *[StructField(a, t) for a, t, _ in added]]))
+    return map_beside(kept, run, [StructField(a, t) for a, t, _ in added])

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_beside, others
+
 _CLASSES = 12
 _TRIGRAMS = _CLASSES**3
 _SHAPES = 256
@@ -156,10 +158,10 @@ def fit(
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """Add ``out_col``, 0 to 1, to every row; other columns pass through."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, StructField
 
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n != out_col]
+    names = others(docs.columns, out_col)
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 texts = batch.column(place).slice(at, 512).to_pylist()
                 made.append(fitted.score(np.array([features(t) for t in texts], np.float32)))
             values = np.concatenate(made) if made else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, out_col])
 
     kept = docs.select(*[F.col(f"`{n}`") for n in names])
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out_col, DoubleType())]))
+    return map_beside(kept, run, [StructField(out_col, DoubleType())])

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_beside, others
+
 #: Fixed values of the TIFF 6.0 format: tags, compressions, sizes of types.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS = 256, 257, 258, 259, 262, 273
 SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PREDICTOR = 277, 278, 279, 317
@@ -312,16 +314,15 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def read_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page: the input's columns, then page, width, height,
     samples, pixels, feature and error."""
-    from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
+    from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField
 
     added = [
         ("page", IntegerType(), pa.int32()), ("width", IntegerType(), pa.int32()), ("height", IntegerType(), pa.int32()),
         ("samples", IntegerType(), pa.int32()), ("pixels", BinaryType(), pa.binary()),
         ("feature", StringType(), pa.string()), ("error", StringType(), pa.string()),
     ]
-    kept = [f for f in files.schema.fields if f.name not in {n for n, _, _ in added}]
-    schema = StructType([*kept, *[StructField(n, t, True) for n, t, _ in added]])
-    names, place = [f.name for f in kept], [f.name for f in kept].index(media_col)
+    names = others(files.columns, *[n for n, _, _ in added])
+    place = names.index(media_col)
 
     def pages(data: bytes) -> Iterator[tuple]:
         n = 0
@@ -342,6 +343,6 @@ def read_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
                         rows.append(row)
             own = batch.take(pa.array(at, pa.int64()))
             made = [pa.array([r[j] for r in rows], t) for j, (_, _, t) in enumerate(added)]
-            yield pa.RecordBatch.from_arrays([*own.columns, *made], [*names, *[n for n, _, _ in added]])
+            yield pa.RecordBatch.from_arrays([*own.columns, *made], [*own.schema.names, *[n for n, _, _ in added]])
 
-    return files.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return map_beside(files.select(*[F.col(f"`{n}`") for n in names]), run, [StructField(n, t, True) for n, t, _ in added])
