@@ -136,3 +136,10 @@ def test_late_duplicate_passes_a_watermark_only(spark, tmp_path):
         stream = twins.dedup_within(spark.readStream.schema(schema).parquet(folder), ["user_id"], "1 day")
         twins.run_available(stream, "append", out, state)
     assert sorted(r.user_id for r in spark.read.parquet(out).collect()) == [1, 1, 9]
+
+
+def test_exact_allowlist():
+    assert retention.exact_allowlist(["b", "a", "b"]) == ["a", "b"]
+    for bad in ([], ["*"], ["all"], ["a", ""], ["x%"]):
+        with pytest.raises(ValueError):
+            retention.exact_allowlist(bad)
