@@ -62,3 +62,42 @@ def test_empty(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_copies_go_and_others_stay(spark, sf_dir):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(6):  # four words changed in 200: similarity 0.81 or more
+        base = [f"w{i}" for i in rng.integers(0, 10**6, 200)]
+        near, far = list(base), list(base)
+        for at in (20, 70, 120, 170):
+            near[at] = "changed"
+        for at in range(5, 200, 20):  # ten words: similarity 0.6
+            far[at] = "changed"
+        texts += [base, near, far]
+    # a crowded group: one passage with one word changed, each time another
+    passage = [f"p{i}" for i in range(120)]
+    texts += [passage[:at] + [f"q{at}"] + passage[at + 1 :] for at in range(100)]
+    # many texts that share a passage and no more
+    texts += [passage[:40] + [f"r{k}s{i}" for i in range(80)] for k in range(80)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = sorted(r.doc_id for r in dict(cp.STAGES)["SimHash near-dedup"](spark, docs, sf_dir).collect())
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert kept == sorted(set(root)) and len(kept) == 12 + 1 + 80
+
+
+def test_ids_do_not_make_copies(spark, sf_dir):
+    one, two = ("first text with words of its own here", "second one that has nothing in common at all")
+    rows = [(1, one), (1, two), (None, one), (None, "a third text without any id"), (None, "a third text without any id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = sorted(((r.doc_id or 0), r.text) for r in dict(cp.STAGES)["SimHash near-dedup"](spark, docs, sf_dir).collect())
+    assert kept == [(0, "a third text without any id"), (1, one), (1, two)]
