@@ -12,7 +12,9 @@ Only the text is read for a prediction.  The sample holds at most
 ``max_per_language`` documents of each of at most ``max_languages`` languages
 (the most frequent), chosen by a hash of their id; each is read whole, as is
 every text that is scored.  Texts that a model of the sample's other half
-rejects are not learned from, so a wrong label does not make junk acceptable.
+rejects are not learned from, so a wrong label does not make junk acceptable;
+a language of fewer than twenty texts keeps all of them, and its limit follows
+halves of its texts that a model of the other halves has not seen.
 
 Edge cases: a null text and one without letters give ``und`` with score 0, as
 does every text if nothing was learned; ties go to the first language by name;
@@ -35,6 +37,8 @@ from .common import map_beside, others
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
+#: So many texts of a language in a half judge those of the other.
+_JUDGES = 10
 
 
 @lru_cache(maxsize=1)
@@ -153,7 +157,7 @@ class Model:
             out[i] = (self.languages[b], float(min(max(p, 0.0), 1.0)), bool(r))
 
 
-def train(samples: dict[str, list[str | None]], order: int = 4, discount: float = 0.75) -> Model:
+def train(samples: dict[str, list[str | None]], order: int = 4, discount: float = 0.75, halved: bool = True) -> Model:
     """Fit on a bounded sample: texts of each language."""
     languages = sorted(samples)
     parts = {x: [s for s in map(symbols, samples[x]) if len(s)] for x in languages}
@@ -224,6 +228,18 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
         model.mean[j] = mean
         model.spread[j] = 3.0 * float(np.sqrt(np.mean((own - mean) ** 2 * n))) + 8.0
         model.floor[j] = 0.5 * mean
+    # few texts show little of what others of their language look like: a half that the model has not seen shows more
+    few = {x: [t or "" for t in samples[x]] for x in languages if len(parts[x]) < 2 * _JUDGES} if halved else {}
+    for i in (0, 1) if few else ():
+        cut = {x: [(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts] for x, texts in few.items()}
+        other = train({x: [c[i] for c in texts] for x, texts in cut.items()}, order, discount, halved=False)
+        for x in other.languages:
+            unseen = [s for s in (symbols(c[1 - i]) for c in cut[x]) if len(s)]
+            if unseen:
+                bits = other.entropies(unseen)[:, other.languages.index(x)]
+                j = languages.index(x)
+                model.mean[j] = max(model.mean[j], float(np.average(bits, weights=[len(s) for s in unseen])))
+                model.floor[j] = max(model.floor[j], 0.5 * model.mean[j])
     return model
 
 
@@ -264,7 +280,11 @@ def _own(samples: dict[str, list], **options) -> dict[str, list]:
     kept: dict[str, list] = {}
     for half, model in zip(halves, models[::-1], strict=True):
         for x, texts in half.items():
-            fits = [t for t, (_, _, out) in zip(texts, model.classify(texts), strict=True) if not out] if model.languages else texts
+            # too few texts of the language in the other half say nothing about these
+            if len(samples[x]) < _JUDGES * 2 or x not in model.languages:
+                fits = texts
+            else:
+                fits = [t for t, (_, _, out) in zip(texts, model.classify(texts), strict=True) if not out]
             kept[x] = kept.get(x, []) + fits
     return kept
 
