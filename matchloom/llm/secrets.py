@@ -32,7 +32,9 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
+#: Classes of the entropy kinds by the names of their fields.
+_CLASSES = {"hex": "entropy_hex", "b64": "entropy_base64", "low": "entropy_lower", "up": "entropy_upper"}
 
 ALLOW = (
     # identifiers that are random by design but no secrets
@@ -61,7 +63,9 @@ def _no_spans() -> Column:
     return F.array().cast(_SPANS)
 
 
-def _entropy(candidate: Column, window: int, hex_bits: float, base64_bits: float) -> Column:
+def _entropy(
+    candidate: Column, window: int, hex_bits: float, base64_bits: float, case_bits: float, lower_turns: int, upper_turns: int
+) -> Column:
     """First and last flagged window of a candidate, as a struct.
 
     State of the fold: counts by symbol of the current window, the sum of
@@ -84,6 +88,7 @@ def _entropy(candidate: Column, window: int, hex_bits: float, base64_bits: float
         in_class("[0-9]").alias("digits"),
         in_class("[a-z]").alias("lowers"),
         in_class("[A-Z]").alias("uppers"),
+        F.transform(chars, lambda c, i: F.when(i > 0, c.rlike("[0-9]") != F.get(chars, i - 1).rlike("[0-9]")).otherwise(False).cast("int")).alias("turns"),
     )
 
     def scan(p: Column) -> Column:
@@ -115,10 +120,8 @@ def _entropy(candidate: Column, window: int, hex_bits: float, base64_bits: float
                 moved(acc, "digits", "digits", i),
                 moved(acc, "lowers", "lowers", i),
                 moved(acc, "uppers", "uppers", i),
-                acc["hex_first"].alias("hex_first"),
-                acc["hex_last"].alias("hex_last"),
-                acc["b64_first"].alias("b64_first"),
-                acc["b64_last"].alias("b64_last"),
+                moved(acc, "turns", "turns", i),
+                *[acc[f"{c}_{end}"].alias(f"{c}_{end}") for c in _CLASSES for end in ("first", "last")],
             )
 
         def judged(acc: Column, i: Column) -> Column:
@@ -130,19 +133,23 @@ def _entropy(candidate: Column, window: int, hex_bits: float, base64_bits: float
                 full & (acc["hexes"] < window) & (acc["digits"] > 0)
                 & (acc["lowers"] > 0) & (acc["uppers"] > 0) & (bits >= base64_bits)
             )
-            return F.struct(
-                *[acc[k].alias(k) for k in ("counts", "mass", "hexes", "digits", "lowers", "uppers")],
-                F.when(is_hex & (acc["hex_first"] < 0), i - (window - 1)).otherwise(acc["hex_first"]).alias("hex_first"),
-                F.when(is_hex, i + 1).otherwise(acc["hex_last"]).alias("hex_last"),
-                F.when(is_b64 & (acc["b64_first"] < 0), i - (window - 1)).otherwise(acc["b64_first"]).alias("b64_first"),
-                F.when(is_b64, i + 1).otherwise(acc["b64_last"]).alias("b64_last"),
-            )
+            # turns between digits and letters tell a random key from words with a number
+            turns = acc["turns"] - F.get(p["turns"], i - (window - 1))
+            plain = full & (acc["hexes"] < window) & (acc["digits"] > 0) & (bits >= case_bits)
+            is_low = plain & (acc["lowers"] > 0) & (acc["digits"] + acc["lowers"] == window) & (turns >= lower_turns)
+            is_up = plain & (acc["uppers"] > 0) & (acc["digits"] + acc["uppers"] == window) & (turns >= upper_turns)
+            ends = []
+            for name, hit in zip(_CLASSES, (is_hex, is_b64, is_low, is_up), strict=True):
+                first, last = acc[f"{name}_first"], acc[f"{name}_last"]
+                ends += [F.when(hit & (first < 0), i - (window - 1)).otherwise(first).alias(f"{name}_first"),
+                         F.when(hit, i + 1).otherwise(last).alias(f"{name}_last")]
+            return F.struct(*[acc[k].alias(k) for k in ("counts", "mass", "hexes", "digits", "lowers", "uppers", "turns")], *ends)
 
         start = F.struct(
             p["zero"].alias("counts"),
             F.lit(0.0).alias("mass"),
-            *[F.lit(0).alias(k) for k in ("hexes", "digits", "lowers", "uppers")],
-            *[F.lit(-1).alias(k) for k in ("hex_first", "hex_last", "b64_first", "b64_last")],
+            *[F.lit(0).alias(k) for k in ("hexes", "digits", "lowers", "uppers", "turns")],
+            *[F.lit(-1).alias(f"{c}_{end}") for c in _CLASSES for end in ("first", "last")],
         )
         # the step runs in a one-element transform, so that it is worked out once
         return F.aggregate(
@@ -164,11 +171,16 @@ def find_secrets(
     base64_bits: float = 3.5,
     allow: Sequence[str] = ALLOW,
     out_col: str = "secret_spans",
+    case_bits: float = 3.4,
+    lower_turns: int = 5,
+    upper_turns: int = 4,
 ) -> DataFrame:
     """Add ``out_col``: array<struct<start, rank, end, kind>>, by start then kind.
 
     Entropy spans that lie within a base span are left out; base spans always
-    stay.  ``allow`` suppresses candidates of the entropy scan only.
+    stay.  ``allow`` suppresses candidates of the entropy scan only.  Windows of
+    digits and letters of one case must reach ``case_bits`` and change between
+    digits and letters at least ``lower_turns`` or ``upper_turns`` times.
     """
     run = r"[A-Za-z0-9+/_=-]"
     candidate = rf"(?<!{run})(?=[A-Za-z+/_=-]*[0-9]){run}{{{window},}}"
@@ -216,7 +228,7 @@ def find_secrets(
             F.zip_with(f"{own}_m_cand", f"{own}_e_cand", lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("at"))),
             lambda c: ~allowed(c["m"]),
         ),
-        lambda c: F.struct(c["at"].alias("at"), _entropy(c["m"], window, hex_bits, base64_bits).alias("r")),
+        lambda c: F.struct(c["at"].alias("at"), _entropy(c["m"], window, hex_bits, base64_bits, case_bits, lower_turns, upper_turns).alias("r")),
     )
     df = df.withColumn(f"{own}_scan", F.when(F.size(f"{own}_m_cand") > 0, scanned))
 
@@ -227,7 +239,7 @@ def find_secrets(
             (c["at"] + c["r"][f"{name}_last"]).alias("end"), F.lit(kind).alias("kind"))).cast(_SPANS)
 
     added = F.filter(
-        F.concat(entropy_spans("entropy_hex", "hex"), entropy_spans("entropy_base64", "b64")),
+        F.concat(*[entropy_spans(kind, name) for name, kind in _CLASSES.items()]),
         lambda s: ~F.exists(f"{own}_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
     )
     every = F.when(F.col(f"{own}_scan").isNull(), F.col(f"{own}_base")).otherwise(F.concat(f"{own}_base", added))
