@@ -9,8 +9,7 @@ sample: a text is rejected if its cross-entropy exceeds what its language's own
 texts show by a wide margin, longer texts being held closer to the mean.
 
 Only the text is read for a prediction.  The sample holds at most
-``max_per_language`` documents of each of at most ``max_languages`` languages
-(the most frequent), chosen by a hash of their id; each is read whole, as is
+``max_per_language`` documents of each language, chosen by a hash of their id; each is read whole, as is
 every text that is scored.  Texts that a model of the sample's other half
 rejects are not learned from, so a wrong label does not make junk acceptable;
 a language of fewer than twenty texts keeps all of them, and its limit follows
@@ -252,8 +251,10 @@ def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allo
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    # bounded by max_languages rows
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    # bounded by max_languages rows, and no language is left out in silence
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).select("lang")
+    if common.count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages; raise max_languages to learn them all")
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         known.join(F.broadcast(common), "lang").select("doc_id", "lang")

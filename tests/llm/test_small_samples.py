@@ -1,6 +1,7 @@
 """Languages of few labelled texts."""
 
 import numpy as np
+import pytest
 
 from matchloom.llm import langid
 
@@ -29,3 +30,10 @@ def test_languages_of_one_to_five_texts(spark):
         assert sum(x == "cc" and not out for x, _, out in got) >= 38, (k, got)
         # what is no language of the model is still rejected
         assert all(out for _, _, out in model.classify(["字" * 300, "zqxj wvkq pzzx qqwj " * 20]))
+
+
+def test_no_language_is_left_out_in_silence(spark):
+    docs = spark.createDataFrame([(i, "some words of it", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    assert len(langid.fit(docs, max_languages=5).languages) == 5
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.fit(docs, max_languages=4)
