@@ -1,14 +1,21 @@
-"""Pairs of texts whose sets of word shingles reach a Jaccard similarity.
+"""Links between texts whose sets of word shingles reach a Jaccard similarity.
 
 Candidates come from prefixes, which miss no pair: with shingles in any one
 order that all texts share, two sets of similarity t have a shingle in common
-among the first n - ceil(t * n) + 1 of each.  Shingles seen often in a bounded
-sample come last, so passages that many texts share are rarely in a prefix.
-The sample decides the order only, which changes the cost and no result.
-
-A shingle in more than ``pair_limit`` prefixes first links its texts to one of
-them, chosen anew in each of ``star_rounds`` rounds; then all pairs that are
-not yet linked are compared.  Nothing is capped.  Every link is verified.
+among the first n - ceil(t * n) + 1 of each.  Shingles that are frequent over
+all texts come last, so passages that many texts share are rarely in a prefix.
+The counts decide the order only, which changes the cost and no result.
+
+A pair is a candidate if it passes three exact bounds on its similarity: the
+sizes of the sets; the places in both prefixes of the shingle it was found by
+(where that is the first they have in common, and such a shingle exists for
+every pair); and the bits in which parity signatures differ, never more than
+the elements that only one set has.  Candidates are verified on whole texts.
+
+Texts that share a shingle are first compared with one of them, the one that
+shares most of its prefix with others, which links groups of copies to the
+text they were made from; then with another one; then all candidate pairs that
+are not linked yet.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -19,27 +26,48 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .simhash import _LOWER, connected_components
 
+#: Bits of a parity signature, in longs.
+SIGNATURE_LONGS = 8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _WordHashes(dict):
+    """Hashes of words met before, emptied when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= 400_000:
+            self.clear()
+        made = self[word] = xxh64_intdigest(word, 7)
+        return made
+
+
+_WORDS = _WordHashes()
+
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted hashes of the different word shingles; one of all words if there are fewer."""
-    from xxhash import xxh64_intdigest
-
     words = (text or "").encode("utf-8").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.int64)
-    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g), 7) for g in grams), np.uint64, n).view(np.int64))
+    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    made = hashes[:n] + np.uint64(size)
+    for i in range(1, size):
+        made = (made ^ (made >> np.uint64(29))) * _MIX + hashes[i : i + n]
+    return np.unique(((made ^ (made >> np.uint64(32))) * _MIX).view(np.int64))
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The least shingles by (times seen in the sample, hash)."""
+    """The least shingles by (times counted, hash), in that order."""
     if not len(shingles):
         return shingles
     # a hair below, so that rounding never shortens a prefix
@@ -51,88 +79,139 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, seen: np
     return shingles[np.argsort(often, kind="stable")[:size]]
 
 
-def often_seen(docs: DataFrame, text_col: str, shingle: int, sample: int = 20_000, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that ``least`` texts of a bounded sample hold, and how many do."""
-    total = docs.count()
-    kept = docs.select(F.col(f"`{text_col}`").alias("text"))
-    if total > sample:
-        kept = kept.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of the bits, as longs."""
+    bits = 64 * SIGNATURE_LONGS
+    odd = np.bincount((shingles.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def often_seen(
+    docs: DataFrame, text_col: str, shingle: int, least: int = 8, window: int = 1_000_000, most: int = 200_000
+) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are frequent, and how often all texts have them.
+
+    Every text is counted.  A task counts ``window`` shingles at a time and
+    passes on those that occur ``least`` times among them; the ``most``
+    frequent sums, a fixed bound, are what the order of all tasks follows.
+    """
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
+        kept = times >= least
+        return pa.RecordBatch.from_arrays([pa.array(found[kept]), pa.array(times[kept].astype(np.int64))], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t, shingle) for t in batch.column(0).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
-
-    # copies of one text are one text here
-    counts = kept.distinct().mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), shingle))
+                size += len(held[-1])
+                if size >= window:
+                    yield counted(held)
+                    held, size = [], 0
+        yield counted(held)
+
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "h long, n long")
+    counts = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)
     rows = sorted((r[0], r[1]) for r in counts.toLocalIterator())
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose texts, by (node, text), reach the similarity."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, broadcast_nodes: int) -> DataFrame:
+    """The pairs (a, b) whose texts, by (node, text), reach the similarity.
+
+    Texts are fetched for nodes of pairs only: behind a broadcast of their
+    numbers where these are ``broadcast_nodes`` at most, by a join of both
+    sides beyond.
+    """
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "shingle-needed")
+    few = needed.count() <= broadcast_nodes
+    held = materialize(texts.join(F.broadcast(needed) if few else needed, "node", "left_semi"), "shingle-texts")
+    left = held.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = held.select(F.col("node").alias("b"), F.col("text").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = lru_cache(maxsize=256)(lambda text: shingle_set(text, shingle))
+        known = lru_cache(maxsize=256)(lambda text: shingle_set(text, shingle))
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = held(x), held(y)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = known(x.as_py()), known(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    out = materialize(found, "shingle-links")
+    discard(held)
+    discard(needed)
+    return out
+
+
+def _bounds(similarity: float, x: str, y: str) -> Column:
+    """Whether two members of a shingle can reach the similarity."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    least = similarity / (1 + similarity) * (n + m) - 1e-6  # of elements in common
+    sizes = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+    places = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= least
+    differ = sum(
+        (F.bit_count(F.get(f"{x}.sign", F.lit(i)).bitwiseXOR(F.get(f"{y}.sign", F.lit(i)))) for i in range(SIGNATURE_LONGS)),
+        F.lit(0),
+    )
+    return sizes & places & (differ <= n + m - 2 * least)
 
 
 def similar_pairs(
-    nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, pair_limit: int = 32, star_rounds: int = 3
+    nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 2,
+    broadcast_nodes: int = 1_000_000,
 ) -> DataFrame:
-    """Links (a, b) between nodes of ``nodes`` (node, n, keys) with texts in ``texts`` (node, text).
+    """Links (a, b) between nodes of ``nodes`` (node, n, keys, sign) with texts in ``texts`` (node, text).
 
     Every pair of the similarity is linked directly or through other links.
-    ``n`` is the size of the shingle set and ``keys`` its prefix.
+    ``n`` is the size of the shingle set, ``keys`` its prefix and ``sign`` its
+    signature.
     """
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = materialize(keyed.groupBy("key").count().where("count > 1"), "shingle-keys")
-    members = materialize(keyed.join(shared, "key"), "shingle-members")
-    fitting = (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        distinct = materialize(pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "shingle-pairs")
-        return materialize(similar(distinct, texts, similarity, shingle).select("a", "b"), "shingle-links")
-
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        return rows.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & fitting).select(
-            F.col("node").alias("a"), "b")
-
-    few = members.where(F.col("count") <= pair_limit).withColumn("root", F.col("node"))
-    links = checked(pairs_of(few))
-    crowded = members.where(F.col("count") > pair_limit).select("key", "node", "n")
-    if crowded.isEmpty():
-        return links
-
-    def unlinked(links: DataFrame) -> DataFrame:
-        """Members of crowded keys that still have texts of more than one root."""
-        roots = materialize(connected_components(links), "shingle-roots").withColumnRenamed("node", "at")
-        rooted = materialize(
-            crowded.join(roots, F.col("node") == F.col("at"), "left")
-            .select("key", "node", "n", F.coalesce("root", "node").alias("root")), "shingle-crowded")
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        return materialize(rooted.join(materialize(mixed, "shingle-mixed"), "key", "left_semi"), "shingle-unlinked")
-
-    for number in range(star_rounds):
-        left = unlinked(links)
-        if left.isEmpty():
-            return links
-        order = F.xxhash64(F.lit(number), "node")
-        stars = materialize(
-            left.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))).alias("s"))
-            .select("key", "s.b", "s.m", "s.other"), "shingle-stars")
-        pairs = left.join(stars, "key").where((F.col("root") != F.col("other")) & fitting).select(F.col("node").alias("a"), "b")
-        links = materialize(links.union(checked(pairs)), "shingle-links")
-    return links.union(checked(pairs_of(unlinked(links))))
+    keyed = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    # one exchange of the prefixes; nearly all shingles are seen once and end here
+    shared = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
+    shared = materialize(shared, "shingle-shared")
+    weight = shared.groupBy("node").agg(F.sum(F.log2("count")).alias("weight"))
+    about = nodes.select("node", "n", "sign", F.size("keys").alias("size")).join(weight, "node")
+    about = about.select("node", "n", "sign", (F.col("weight") / F.col("size")).alias("weight"))
+    members = materialize(shared.drop("count").join(about, "node").withColumn("root", F.col("node")), "shingle-members")
+    discard(shared)
+    whole = F.struct("node", "n", "place", "sign", "root")
+    links = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        distinct = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
+        distinct = materialize(distinct, "shingle-pairs")
+        out = similar(distinct, texts, similarity, shingle, broadcast_nodes)
+        discard(distinct)
+        return out if links is None else links.union(out)
+
+    for number in range(star_rounds + 1):
+        if links is not None:
+            roots = connected_components(links).withColumnRenamed("root", "found")
+            rooted = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("found", "node")).drop("found")
+            rooted = materialize(rooted, "shingle-rooted")
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+            left = materialize(rooted.join(mixed, "key", "left_semi"), "shingle-unlinked")
+            discard(rooted)
+            discard(members)
+            members = left
+        x = members.select("key", whole.alias("x"))
+        if number < star_rounds:
+            # at first what shares most, then chosen by hash among those
+            order = F.struct(-F.round("weight", 3 if number == 0 else 0), F.xxhash64(F.lit(number), "node"), "node")
+            y = members.groupBy("key").agg(F.min_by(whole, order).alias("y"))
+            other = F.col("x.root") != F.col("y.root")
+        else:
+            y = members.select("key", whole.alias("y"))
+            other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+        on = (F.col("l.key") == F.col("r.key")) & other & _bounds(similarity, "x", "y")
+        pairs = x.alias("l").join(y.alias("r"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        links = verified(pairs)
+    discard(members)
+    return links
