@@ -6,15 +6,11 @@ kept.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
-from xxhash import xxh64_intdigest
 
-from matchloom.llm import langid, packing, quality, secrets, shingles, simhash
-from matchloom.llm.common import map_beside, materialize, table
+from matchloom.llm import dedup, langid, packing, quality, secrets
+from matchloom.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,54 +29,12 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
-    """Keep one row of each group of near-duplicates: that of the smallest id.
-
-    Texts are near-duplicates if ``op2`` links them or, where ``similarity`` is
-    given, if their five-word shingles have that Jaccard similarity or more.
-    Groups are told apart by fingerprint, not by id; a row without an id stays
-    only if its group has no id, and of rows alike in both the one of the least
-    text hash.
-    """
-    order = shingles.often_seen(docs, "text", 5) if similarity else None
-    sent = spark.sparkContext.broadcast(order)
-
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.array([simhash.simhash64(t) for t in texts], np.uint64).view(np.int64)
-            sets = [shingles.shingle_set(t, 5) for t in texts] if similarity else [shingles.shingle_set("")] * len(texts)
-            made = [
-                pa.array(fps),
-                pa.array(np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)),
-                pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([shingles.prefix(s, similarity, *sent.value) if len(s) else s for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "fp", "shape", "n", "keys"])
-
-    added = [StructField("fp", LongType()), StructField("shape", LongType()), StructField("n", IntegerType()),
-             StructField("keys", ArrayType(LongType()))]
-    rows = materialize(map_beside(docs.select(*COLUMNS), run, added).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
-    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
-    firsts = materialize(rows.groupBy("fp").agg(F.min(least).alias("first")), "dedup-firsts")
-    links = simhash.near_pairs(firsts.select("fp"))
-    if similarity:
-        # texts with the same shingles are one node; their fingerprints are linked to the node's
-        chosen = rows.where("n > 0").groupBy("shape").agg(F.min("row").alias("row")).select("row")
-        nodes = materialize(rows.join(chosen, "row", "left_semi").select(F.col("row").alias("node"), "shape", "fp", "n", "keys"), "dedup-nodes")
-        alike = shingles.similar_pairs(nodes, rows.select(F.col("row").alias("node"), "text"), similarity)
-        of = nodes.select("node", "fp")
-        alike = alike.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        shapes = rows.where("n > 0").select("shape", F.col("fp").alias("a")).distinct()
-        same = shapes.join(nodes.select("shape", F.col("fp").alias("b")), "shape").select("a", "b")
-        links = links.union(alike).union(same).where("a <> b").distinct()
-    roots = materialize(simhash.connected_components(links), "dedup-roots")
-    grouped = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    winners = materialize(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "dedup-kept")
-    return rows.join(winners, "row", "left_semi").select(*COLUMNS)
+    """Keep one row of each group of near-duplicates: that of the smallest id."""
+    return dedup.keep_one(docs.select(*COLUMNS), similarity)
 
 
 def near_text_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``near_dedup`` with a similarity of 0.8."""
+    """``near_dedup`` with a similarity of 0.8 of five-word shingles."""
     return near_dedup(spark, docs, sf_dir, 0.8)
 
 
