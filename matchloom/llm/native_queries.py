@@ -23,6 +23,73 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The patterns again, without look-around and without case folding beyond ASCII.
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_WORDS = r"(?:(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,})|(?:(?i)abcdefgh|01234567|12345678|qwertyui)"
+OP1_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+kinds(kind, rank, pattern) AS (VALUES
+  ('assign', 0, '{_ASSIGN}'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{{24,}}'), ('cand', 9, '[A-Za-z0-9+/_=-]{{20,}}')),
+found AS (
+  SELECT r, t, kind, rank, pattern, regexp_extract_all(t, pattern, 0) AS m, string_split_regex(t, pattern) AS p
+  FROM docs, kinds WHERE regexp_matches(t, pattern)),
+hits AS (
+  SELECT r, kind, rank, pattern, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1),
+    lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s
+  FROM found),
+base AS (
+  SELECT r, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM hits
+  WHERE (kind = 'assign' AND length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6)
+    OR (kind = 'access' AND length(m) >= 20) OR kind = 'hex'),
+cand AS (
+  SELECT row_number() OVER () AS c, r, m, CAST(s AS BIGINT) AS pos FROM hits
+  WHERE kind = 'cand' AND regexp_matches(m, '[0-9]')
+    AND NOT regexp_full_match(m, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
+    AND NOT (regexp_full_match(m, '[a-z0-9/_-]+') AND NOT regexp_matches(m, '[0-9][a-z]'))
+    AND NOT regexp_full_match(m, '[0-9+/_=-]+')),
+marks AS (
+  SELECT c, list_transform(range(1, len(w) + 1), lambda i: {{'a':
+      list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0),
+      'n': length(w[i])}}) AS marks
+  FROM (SELECT c, regexp_extract_all(m, '{_WORDS}', 0) AS w, string_split_regex(m, '{_WORDS}') AS p FROM cand)),
+windows AS (
+  SELECT c, r, pos, k, substr(m, k + 1, 20) AS w, string_split(substr(m, k + 1, 20), '') AS x, marks
+  FROM (SELECT c, r, pos, m, marks, unnest(range(0, length(m) - 19)) AS k FROM cand JOIN marks USING (c))),
+judged AS (
+  SELECT *, list_aggregate(x, 'entropy') AS bits,
+    len(list_filter(range(2, 21), lambda i: regexp_matches(x[i], '[0-9]') <> regexp_matches(x[i - 1], '[0-9]'))) AS turns
+  FROM windows WHERE regexp_matches(w, '[0-9]')
+    AND len(list_filter(marks, lambda q: q.a < k + 40 AND q.a + q.n > k - 20)) = 0),
+flagged AS (
+  SELECT c, r, pos, k, CASE
+    WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN CASE WHEN regexp_matches(w, '[a-fA-F]') AND bits >= 3.0 THEN 3 END
+    WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') THEN CASE WHEN bits >= 3.5 THEN 4 END
+    WHEN regexp_full_match(w, '[0-9a-z]+') THEN CASE WHEN bits >= 3.4 AND turns >= 5 THEN 5 END
+    WHEN regexp_full_match(w, '[0-9A-Z]+') THEN CASE WHEN bits >= 3.4 AND turns >= 4 THEN 6 END END AS rank
+  FROM judged),
+islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY c, rank ORDER BY k) AS island FROM (
+    SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY c, rank ORDER BY k) + 20 THEN 0 ELSE 1 END AS fresh
+    FROM flagged WHERE rank IS NOT NULL)),
+entropy AS (
+  SELECT r, ['entropy_hex', 'entropy_base64', 'entropy_lower', 'entropy_upper'][rank - 2] AS kind, rank, s, e FROM (
+    SELECT r, c, rank, island, min(pos + k) AS s, max(pos + k) + 20 AS e FROM islands GROUP BY r, c, rank, island)),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM entropy n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = n.r AND b.s <= n.s AND n.e <= b.e)),
+digests AS (
+  SELECT r, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
+    count(*) FILTER (WHERE rank = 2) AS n_hex,
+    coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (WHERE rank < 3), '') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN digests USING (r)
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = chat.events_from_turns(table(spark, sf_dir, "conversations"))
     events = events.select(*chat.EVENT_COLUMNS).unionByName(chat.hostile_conversation(spark))
@@ -69,4 +136,4 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op10_order_minhash": op10_order_minhash,
 }
-ORACLE_SQL = {"op6_chat_format": OP6_SQL}
+ORACLE_SQL = {"op1_secret_scan": OP1_SQL, "op6_chat_format": OP6_SQL}

@@ -2,11 +2,18 @@
 
 Two sources of spans.  *Base* kinds are three patterns (an assignment to a
 secret-like name, a cloud access key id, a long hex string).  The *entropy*
-kinds slide a window over each candidate string (a maximal run of
-token characters that holds a digit), keep the window's symbol counts by
-adding the character that enters and taking away the one that leaves, and
-flag windows whose Shannon entropy reaches the threshold of their character
-class.  Candidates that match an allow-list pattern are suppressed.
+kinds slide a window over each candidate string (a maximal run of token
+characters that holds a digit) and keep its symbol counts, packed into a few
+longs, by adding the character that enters and taking away the one that
+leaves.  Windows whose Shannon entropy reaches the threshold of their character
+class are flagged; flagged windows of a class that overlap or touch are a span.
+
+The allow-list suppresses.  A pattern that begins with ``^`` holds for whole
+candidates; any other marks its matches, and windows that reach within one
+window of a mark are not flagged, so a word cannot hide a key further on.
+
+Candidates are scanned in slices that overlap, so a very long one costs time in
+proportion to its length and memory for a slice.
 
 Positions are code points, end exclusive.  A null text counts as empty; an
 empty text has no spans.  Repeated rows are scanned each for itself, and other
@@ -16,6 +23,7 @@ name gives way to it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -33,23 +41,27 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
-#: Classes of the entropy kinds by the names of their fields.
-_CLASSES = {"hex": "entropy_hex", "b64": "entropy_base64", "low": "entropy_lower", "up": "entropy_upper"}
+#: Symbols of candidates; a symbol's place is its number in the counts.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_MARK = "~"
+#: Candidates are scanned in slices of so many windows.
+SLICE = 1 << 14
 
 ALLOW = (
     # identifiers that are random by design but no secrets
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    # paths and dashed words: letters, then digits, in each part
+    r"^(?!.*[0-9][a-z])[a-z0-9/_-]+$",
+    # numbers with separators
+    r"^[0-9+/_=-]+$",
     # placeholders
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}",
     # runs of the alphabet or of the digits
     r"(?i)abcdefgh|01234567|12345678|qwertyui",
-    # plain paths and dashed words
-    r"^[/_-]?(?:[a-z]+[0-9]*[/_-])+[a-z0-9]*$",
-    # numbers with separators
-    r"^[0-9+/_=-]+$",
 )
 
 _SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_OPEN = "array<struct<rank:int,start:int,end:int>>"
 
 
 def _ends(text: Column, pattern: str, found: Column) -> Column:
@@ -63,104 +75,177 @@ def _no_spans() -> Column:
     return F.array().cast(_SPANS)
 
 
-def _entropy(
-    candidate: Column, window: int, hex_bits: float, base64_bits: float, case_bits: float, lower_turns: int, upper_turns: int
+#: Bits of a field of the class counts, and the fields.
+_FIELD = 10
+_HEXES, _DIGITS, _LOWERS, _UPPERS, _TURNS = range(5)
+
+
+def _class_code(symbol: str) -> int:
+    held = {
+        _HEXES: symbol in "0123456789abcdefABCDEF", _DIGITS: symbol.isdigit(), _LOWERS: symbol.islower(),
+        _UPPERS: symbol.isupper(),
+    }
+    return sum(1 << (_FIELD * field) for field, yes in held.items() if yes)
+
+
+def _marked(candidate: Column, words: Sequence[str]) -> Column:
+    """The candidate with matches of ``words`` overwritten by marks."""
+    if not words:
+        return candidate
+    pattern = "|".join(f"(?:{w})" for w in words)
+    found = F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0))
+    rebuilt = F.array_join(F.zip_with(
+        F.split(candidate, pattern, -1), found,
+        lambda piece, m: F.concat(piece, F.repeat(F.lit(_MARK), F.coalesce(F.length(m), F.lit(0)))),
+    ), "")
+    return F.when(candidate.rlike(pattern), rebuilt).otherwise(candidate)
+
+
+def _slice_spans(
+    text: Column, first: Column, last: Column, window: int, hex_bits: float, base64_bits: float, case_bits: float,
+    lower_turns: int, upper_turns: int,
 ) -> Column:
-    """First and last flagged window of a candidate, as a struct.
+    """array<struct<rank, start, end>> of a slice; windows that start at ``first`` to ``last`` - 1 are judged.
 
-    State of the fold: counts by symbol of the current window, the sum of
-    c * log2(c) over them, and how many characters of each class it holds.
+    State of the fold: packed counts by symbol of the current window, the sum
+    of c * log2(c) over them, packed counts by class, marks within reach, an
+    open span for each class and the closed ones.
     """
-    chars = F.split(candidate, "")
-    symbols = F.array_distinct(chars)
-    index = F.transform(chars, lambda c: F.array_position(symbols, c).cast("int"))
-
-    def weight(c: Column) -> Column:
-        return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-
-    def in_class(pattern: str) -> Column:
-        return F.transform(chars, lambda c: c.rlike(pattern).cast("int"))
-
-    prepared = F.struct(
-        index.alias("index"),
-        F.transform(symbols, lambda _: F.lit(0)).alias("zero"),
-        in_class("[0-9a-fA-F]").alias("hexes"),
-        in_class("[0-9]").alias("digits"),
-        in_class("[a-z]").alias("lowers"),
-        in_class("[A-Z]").alias("uppers"),
-        F.transform(chars, lambda c, i: F.when(i > 0, c.rlike("[0-9]") != F.get(chars, i - 1).rlike("[0-9]")).otherwise(False).cast("int")).alias("turns"),
-    )
+    bits = window.bit_length()
+    per = 63 // bits
+    longs = -(-len(SYMBOLS) // per)
+    weight = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    growth = F.array(*[F.lit(y - x) for x, y in zip(weight, weight[1:], strict=False)])  # of the sum, from one count to the next
+    codes = F.array(*[F.lit(_class_code(c)).cast("long") for c in SYMBOLS])
+    ranks = range(3, len(KINDS))
+
+    def prepare(chars: Column) -> Column:
+        number = F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)  # -1: a mark
+        return let(number, lambda number: F.struct(
+            F.transform(number, lambda n: F.when(n >= 0, F.floor(n / per)).otherwise(-1).cast("int")).alias("word"),
+            F.transform(number, lambda n: F.pmod(n, F.lit(per)) * bits).alias("shift"),
+            F.transform(number, lambda n, i: F.coalesce(F.get(codes, n), F.lit(0).cast("long")) + F.when(
+                (i > 0) & (F.get(codes, n).bitwiseAND(1 << (_FIELD * _DIGITS))
+                           != F.get(codes, F.get(number, i - 1)).bitwiseAND(1 << (_FIELD * _DIGITS))),
+                F.lit(1 << (_FIELD * _TURNS))).otherwise(0)).alias("code"),
+            F.transform(number, lambda n: (n < 0).cast("int")).alias("mark"),
+            (~F.exists(number, lambda n: n < 0)).alias("clean"),
+        ))
 
     def scan(p: Column) -> Column:
-        def moved(acc: Column, name: str, source: str, i: Column) -> Column:
-            leaving = F.when(i >= window, F.get(p[source], i - window)).otherwise(F.lit(0))
-            return (acc[name] + F.get(p[source], i) - leaving).alias(name)
-
         def step(acc: Column, i: Column) -> Column:
-            entering = F.get(p["index"], i) - 1
-            leaving = F.when(i >= window, F.get(p["index"], i - window) - 1).otherwise(F.lit(-1))
-            counts = F.transform(
-                acc["counts"],
-                lambda c, j: c + (j == entering).cast("int") - (j == leaving).cast("int"),
-            )
-            # only two symbols change their count, or none where they are equal
-            before_in, before_out = F.get(acc["counts"], entering), F.get(acc["counts"], leaving)
-            change = (
-                F.when(entering == leaving, F.lit(0.0))
-                .when(
-                    leaving >= 0,
-                    weight(before_in + 1) - weight(before_in) + weight(before_out - 1) - weight(before_out),
-                )
-                .otherwise(weight(before_in + 1) - weight(before_in))
-            )
+            word_in, shift_in = F.get(p["word"], i), F.get(p["shift"], i)
+            word_out = F.when(i >= window, F.get(p["word"], i - window)).otherwise(-1)
+            shift_out = F.when(i >= window, F.get(p["shift"], i - window)).otherwise(0)
+            one = F.lit(1).cast("long")
+
+            def held(word: Column, shift: Column) -> Column:
+                return _shifted(F.get(acc["counts"], word), shift).bitwiseAND((1 << bits) - 1).cast("int")
+
+            same = (word_in == word_out) & (shift_in == shift_out)
+            counts = F.transform(acc["counts"], lambda c, j: F.when(j == word_in, F.when(
+                j == word_out, c + _left(one, shift_in) - _left(one, shift_out)).otherwise(c + _left(one, shift_in))
+            ).when(j == word_out, c - _left(one, shift_out)).otherwise(c))
+            before_in, before_out = held(word_in, shift_in), held(word_out, shift_out)
+            gain = F.when(word_in >= 0, F.get(growth, before_in)).otherwise(0.0)
+            loss = F.when(word_out >= 0, F.get(growth, before_out - 1)).otherwise(0.0)
             return F.struct(
-                counts.alias("counts"),
-                (acc["mass"] + change).alias("mass"),
-                moved(acc, "hexes", "hexes", i),
-                moved(acc, "digits", "digits", i),
-                moved(acc, "lowers", "lowers", i),
-                moved(acc, "uppers", "uppers", i),
-                moved(acc, "turns", "turns", i),
-                *[acc[f"{c}_{end}"].alias(f"{c}_{end}") for c in _CLASSES for end in ("first", "last")],
+                F.when(same, acc["counts"]).otherwise(counts).alias("counts"),
+                F.when(same, acc["mass"]).otherwise(acc["mass"] + gain - loss).alias("mass"),
+                (acc["classes"] + F.get(p["code"], i) - F.when(i >= window, F.get(p["code"], i - window)).otherwise(0)).alias("classes"),
+                F.when(p["clean"], acc["marks"]).otherwise(
+                    acc["marks"] + F.coalesce(F.get(p["mark"], i + window), F.lit(0))
+                    - F.when(i >= 2 * window, F.get(p["mark"], i - 2 * window)).otherwise(0)).alias("marks"),
+                acc["open"].alias("open"), acc["closed"].alias("closed"),
             )
 
         def judged(acc: Column, i: Column) -> Column:
-            bits = F.log2(F.lit(float(window))) - acc["mass"] / window
-            full = i >= window - 1
-            letters = acc["lowers"] + acc["uppers"]
-            is_hex = full & (acc["hexes"] == window) & (acc["digits"] > 0) & (letters > 0) & (bits >= hex_bits)
-            is_b64 = (
-                full & (acc["hexes"] < window) & (acc["digits"] > 0)
-                & (acc["lowers"] > 0) & (acc["uppers"] > 0) & (bits >= base64_bits)
-            )
+            start = i - (window - 1)
+
+            def field(number: int, of: Column | None = None) -> Column:
+                return F.shiftrightunsigned(acc["classes"] if of is None else of, _FIELD * number).bitwiseAND((1 << _FIELD) - 1)
+
+            def kept(kind: Column) -> Column:
+                """The state after a window of a kind: its open span goes on, or it is closed and a new one begins."""
+                o = F.get(acc["open"], kind)
+                fresh = start > o["end"]
+                now = F.struct(o["rank"].alias("rank"), F.when(fresh, start).otherwise(o["start"]).alias("start"), (i + 1).alias("end"))
+                return F.when(kind < 0, acc).otherwise(F.struct(
+                    *[acc[k].alias(k) for k in ("counts", "mass", "classes", "marks")],
+                    F.transform(acc["open"], lambda x, j: F.when(j == kind, now).otherwise(x)).alias("open"),
+                    F.when(fresh & (o["end"] >= 0), F.concat(acc["closed"], F.array(o))).otherwise(acc["closed"]).alias("closed"),
+                ))
+
+            most = math.log2(window)
+            hexes, digits, lowers, uppers = map(field, (_HEXES, _DIGITS, _LOWERS, _UPPERS))
             # turns between digits and letters tell a random key from words with a number
-            turns = acc["turns"] - F.get(p["turns"], i - (window - 1))
-            plain = full & (acc["hexes"] < window) & (acc["digits"] > 0) & (bits >= case_bits)
-            is_low = plain & (acc["lowers"] > 0) & (acc["digits"] + acc["lowers"] == window) & (turns >= lower_turns)
-            is_up = plain & (acc["uppers"] > 0) & (acc["digits"] + acc["uppers"] == window) & (turns >= upper_turns)
-            ends = []
-            for name, hit in zip(_CLASSES, (is_hex, is_b64, is_low, is_up), strict=True):
-                first, last = acc[f"{name}_first"], acc[f"{name}_last"]
-                ends += [F.when(hit & (first < 0), i - (window - 1)).otherwise(first).alias(f"{name}_first"),
-                         F.when(hit, i + 1).otherwise(last).alias(f"{name}_last")]
-            return F.struct(*[acc[k].alias(k) for k in ("counts", "mass", "hexes", "digits", "lowers", "uppers", "turns")], *ends)
-
-        start = F.struct(
-            p["zero"].alias("counts"),
-            F.lit(0.0).alias("mass"),
-            *[F.lit(0).alias(k) for k in ("hexes", "digits", "lowers", "uppers", "turns")],
-            *[F.lit(-1).alias(f"{c}_{end}") for c in _CLASSES for end in ("first", "last")],
+            turns = field(_TURNS) - field(_TURNS, F.get(p["code"], start))
+            entropy = F.lit(most) - acc["mass"] / window
+            # no window is of two kinds
+            kind = (
+                F.when(hexes == window, F.when((lowers + uppers > 0) & (entropy >= hex_bits), 0).otherwise(-1))
+                .when((lowers > 0) & (uppers > 0), F.when(entropy >= base64_bits, 1).otherwise(-1))
+                .when((lowers > 0) & (digits + lowers == window), F.when((entropy >= case_bits) & (turns >= lower_turns), 2).otherwise(-1))
+                .when((uppers > 0) & (digits + uppers == window), F.when((entropy >= case_bits) & (turns >= upper_turns), 3).otherwise(-1))
+                .otherwise(-1)
+            )
+            least = (most - min(hex_bits, base64_bits, case_bits)) * window + 1e-6
+            asked = (acc["mass"] <= least) & (start >= first) & (start < last) & (acc["marks"] == 0) & (field(_DIGITS) > 0)
+            return F.when(asked, let(kind, kept)).otherwise(acc)
+
+        none = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(-1).alias("start"), F.lit(-1).alias("end")) for r in ranks])
+        begin = F.struct(
+            F.array(*[F.lit(0).cast("long")] * longs).alias("counts"), F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("classes"),
+            F.aggregate(F.slice(p["mark"], 1, window), F.lit(0), lambda a, x: a + x).alias("marks"),
+            none.alias("open"), F.array().cast(_OPEN).alias("closed"),
         )
-        # the step runs in a one-element transform, so that it is worked out once
         return F.aggregate(
-            F.sequence(F.lit(0), F.size(p["index"]) - 1),
-            start,
-            lambda acc, i: F.element_at(
-                F.transform(F.array(step(acc, i)), lambda now: judged(now, i)), 1
-            ),
+            F.sequence(F.lit(0), F.size(p["word"]) - 1), begin,
+            # the step's result is bound, so that it is worked out once
+            lambda acc, i: let(step(acc, i), lambda now: judged(now, i)),
+            lambda acc: F.concat(acc["closed"], F.filter(acc["open"], lambda o: o["end"] >= 0)),
         )
 
-    return F.element_at(F.transform(F.array(prepared), scan), 1)
+    return let(let(F.split(text, ""), prepare), scan)
+
+
+def _shifted(value: Column, shift: Column) -> Column:
+    return F.call_function("shiftrightunsigned", value, shift)
+
+
+def _left(value: Column, shift: Column) -> Column:
+    return F.call_function("shiftleft", value, shift)
+
+
+def _entropy(candidate: Column, allow: Sequence[str], window: int, **limits) -> Column:
+    """array<struct<rank, start, end>> of a candidate, by rank and start; spans do not touch."""
+    whole, words = [a for a in allow if a.startswith("^")], [a for a in allow if not a.startswith("^")]
+
+    def slices(marked: Column) -> Column:
+        def one(at: Column) -> Column:
+            begin = F.greatest(at - window, F.lit(0))
+            part = F.substring(marked, begin + 1, at - begin + F.lit(SLICE + 2 * window))
+            found = _slice_spans(part, at - begin, at - begin + SLICE, window, **limits)
+            return F.transform(found, lambda s: F.struct(
+                s["rank"].alias("rank"), (s["start"] + begin).alias("start"), (s["end"] + begin).alias("end")))
+        starts = F.sequence(F.lit(0), F.length(marked) - window, F.lit(SLICE))
+        return F.sort_array(F.flatten(F.transform(starts, one)))
+
+    def joined(spans: Column) -> Column:
+        """Spans that a border between slices has cut are put together."""
+        def heads(at: Column) -> Column:
+            return F.transform(at, lambda i, j: F.struct(
+                F.get(spans, i)["rank"].alias("rank"), F.get(spans, i)["start"].alias("start"),
+                F.get(spans, F.coalesce(F.get(at, j + 1), F.size(spans)) - 1)["end"].alias("end")))
+        def head(i: Column) -> Column:
+            before = F.get(spans, i - 1)
+            return (i == 0) | (before["rank"] != F.get(spans, i)["rank"]) | (F.get(spans, i)["start"] > before["end"])
+        return F.when(F.size(spans) > 0, let(F.filter(F.sequence(F.lit(0), F.size(spans) - 1), head), heads)).otherwise(spans)
+
+    allowed = F.lit(False)
+    for pattern in whole:
+        allowed = allowed | candidate.rlike(pattern)
+    return F.when(allowed, F.array().cast(_OPEN)).otherwise(let(let(_marked(candidate, words), slices), joined))
 
 
 def find_secrets(
@@ -178,10 +263,12 @@ def find_secrets(
     """Add ``out_col``: array<struct<start, rank, end, kind>>, by start then kind.
 
     Entropy spans that lie within a base span are left out; base spans always
-    stay.  ``allow`` suppresses candidates of the entropy scan only.  Windows of
+    stay.  ``allow`` suppresses the entropy scan only.  Windows of
     digits and letters of one case must reach ``case_bits`` and change between
     digits and letters at least ``lower_turns`` or ``upper_turns`` times.
     """
+    if not 2 <= window <= 255:
+        raise ValueError("window must be 2 to 255")
     run = r"[A-Za-z0-9+/_=-]"
     candidate = rf"(?<!{run})(?=[A-Za-z+/_=-]*[0-9]){run}{{{window},}}"
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "cand": candidate}
@@ -217,29 +304,15 @@ def find_secrets(
     )
     df = df.withColumn(f"{own}_base", base)
 
-    def allowed(c: Column) -> Column:
-        hit = F.lit(False)
-        for p in allow:
-            hit = hit | c.rlike(p)
-        return hit
-
-    scanned = F.transform(
-        F.filter(
-            F.zip_with(f"{own}_m_cand", f"{own}_e_cand", lambda m, e: F.struct(m.alias("m"), (e - F.length(m)).alias("at"))),
-            lambda c: ~allowed(c["m"]),
-        ),
-        lambda c: F.struct(c["at"].alias("at"), _entropy(c["m"], window, hex_bits, base64_bits, case_bits, lower_turns, upper_turns).alias("r")),
-    )
-    df = df.withColumn(f"{own}_scan", F.when(F.size(f"{own}_m_cand") > 0, scanned))
-
-    def entropy_spans(kind: str, name: str) -> Column:
-        hits = F.filter(f"{own}_scan", lambda c: c["r"][f"{name}_first"] >= 0)
-        return F.transform(hits, lambda c: F.struct(
-            (c["at"] + c["r"][f"{name}_first"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
-            (c["at"] + c["r"][f"{name}_last"]).alias("end"), F.lit(kind).alias("kind"))).cast(_SPANS)
+    limits = {"hex_bits": hex_bits, "base64_bits": base64_bits, "case_bits": case_bits, "lower_turns": lower_turns, "upper_turns": upper_turns}
+    scanned = F.zip_with(f"{own}_m_cand", f"{own}_e_cand", lambda m, e: let(e - F.length(m), lambda at: F.transform(
+        _entropy(m, allow, window, **limits), lambda s: F.struct(
+            (at + s["start"]).alias("start"), s["rank"].alias("rank"), (at + s["end"]).alias("end"),
+            F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))))
+    df = df.withColumn(f"{own}_scan", F.when(F.size(f"{own}_m_cand") > 0, F.flatten(scanned).cast(_SPANS)))
 
     added = F.filter(
-        F.concat(*[entropy_spans(kind, name) for name, kind in _CLASSES.items()]),
+        F.col(f"{own}_scan"),
         lambda s: ~F.exists(f"{own}_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])),
     )
     every = F.when(F.col(f"{own}_scan").isNull(), F.col(f"{own}_base")).otherwise(F.concat(f"{own}_base", added))

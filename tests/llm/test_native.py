@@ -41,8 +41,8 @@ def test_base_spans(spark):
 
 
 def entropy_windows(candidate, window=20):
-    """First and last flagged window by class, worked out anew for each window."""
-    spans = {}
+    """Spans of flagged windows that overlap or touch, by class, worked out anew for each window."""
+    spans = []
     for i in range(len(candidate) - window + 1):
         w = candidate[i : i + window]
         bits = -sum(w.count(c) / window * math.log2(w.count(c) / window) for c in set(w))
@@ -54,14 +54,17 @@ def entropy_windows(candidate, window=20):
             kind = "entropy_base64"
         else:
             continue
-        spans[kind] = (spans.get(kind, (i,))[0], i + window)
+        if spans and spans[-1][0] == kind and spans[-1][2] >= i:
+            spans[-1] = (kind, spans[-1][1], i + window)
+        else:
+            spans.append((kind, i, i + window))
     return spans
 
 
 def test_entropy_agrees_with_recount(spark):
     texts = [TOKEN, TOKEN + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1" + TOKEN, "A1" + "DEADBEEF0123456789ABCDEF01", "aB1" * 10, "Q" * 30 + "1"]
     for text, got in zip(texts, scan(spark, texts, allow=()), strict=True):
-        want = {(k, a, b) for k, (a, b) in entropy_windows(text).items()}
+        want = set(entropy_windows(text))
         covered = base_spans(text)
         want = {w for w in want if not any(s <= w[1] and w[2] <= e for s, _, e, _ in covered)}
         assert {(s[3], s[0], s[2]) for s in got if s[1] >= 3} == want
