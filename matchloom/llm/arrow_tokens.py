@@ -1,17 +1,19 @@
 """Token ids in Arrow stream-file format, as fixed-size-list batches.
 
-Documents are dealt by ranges of their id and sorted, so that file after file
-holds ascending ids.  A task writes its stream of ids as rows of one length
+Documents are dealt by ranges of their id, of a hash of the text and of the row,
+so that no id, nor a missing one, must go to one task, and sorted, so that file
+after file holds ascending ids.  A task writes its stream of ids as rows of one length
 (``ids`` and a ``mask`` of real ids), in record batches of a set number of rows,
 and renames the finished file to a name that only its partition and part have;
-a task that runs again writes the same file again.  Files roll over at a set
+a task that runs again writes the same file again, and what a lost attempt left
+unfinished is deleted at the end.  Files roll over at a set
 number of rows, so a reader opens only what it needs.  The job's own result is
 the index: for each document and file, where its ids lie.
 
 Readers map a file into memory and slice rows without copying.
 
 Edge cases: a null or empty text has the end id alone; equal ids are ordered by
-text; null ids come first; an empty table gives no files.
+a hash of their text, equal rows anyhow; null ids come first; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def default_tokenizer_path() -> str:
 def write_tokens(
     docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     tokenizer_path: str | None = None, end_id: int = 0, sequence: int = SEQUENCE, batch_rows: int = BATCH_ROWS,
-    file_rows: int = FILE_ROWS, wide: bool = False,
+    file_rows: int = FILE_ROWS, wide: bool = False, plain_specials: bool = False,
 ) -> tuple[str, DataFrame]:
     """Write all documents; returns the folder (a URI) and the index.
 
@@ -136,7 +138,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        encoder, end = tokenizer(path, True), np.array([end_id], np.uint32)
+        encoder, end = tokenizer(path, True, plain_specials), np.array([end_id], np.uint32)
         writer = _Writer(folder, partition, sequence, dtype, batch_rows, file_rows)
         names = ["doc_id", "partition", "part", "file", "file_start", "n_ids", "piece_start", "doc_ids"]
         for batch in batches:
@@ -153,10 +155,17 @@ def write_tokens(
         writer.close()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    place = ["doc_id", "hash", "row"]
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
     index = materialize(
         dealt.mapInArrow(run, INDEX.replace("part long", "partition long, part long")), "tokens-index"
     )
+    from pyarrow.fs import FileSelector
+
+    for left in fs.get_file_info(FileSelector(local)):
+        if left.base_name.startswith(".tokens-"):
+            fs.delete_file(left.path)
     # one row per file is left for the running total
     sizes = index.groupBy("partition", "part").agg(F.sum("n_ids").alias("n"))
     w = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,8 @@ from long to short: each window takes one piece of its own tier, and its gap is
 filled from shorter tiers, with whole pieces that fit first and with a cut piece
 at last, so that windows are full.  What no full window takes at the end of a
 partition goes into windows of smaller powers of two.  Windows of one length
-form step groups of equal token counts.
+form step groups of equal token counts; windows wait until two groups of them
+are there, so that what is left at the end is levelled between the last two.
 
 Each partition packs its own stream with bounded memory; nothing is exchanged,
 and a partition that is run again gives the same windows.
@@ -42,7 +43,7 @@ class Packer:
         self.queues: dict[int, deque] = {t: deque() for t in self.tiers}
         self.held = 0
         self.ready: list[tuple[int, int, list]] = []  # length, step group, pieces
-        self._groups: dict[int, tuple[int, int]] = {}
+        self._waiting: dict[int, list] = {}
         self._next_group = 0
 
     def _tier(self, n: int) -> int:
@@ -53,13 +54,17 @@ class Packer:
         self.held += len(piece[2])
 
     def _emit(self, length: int, pieces: list) -> None:
-        """A step group takes windows of one length until it has its tokens."""
-        group, left = self._groups.get(length, (0, 0))
-        if left < length:
-            group, left = self._next_group, max(length, self.step_tokens)
-            self._next_group += 1
-        self._groups[length] = group, left - length
-        self.ready.append((length, group, pieces))
+        """Windows of one length leave as a group once as many wait behind them."""
+        waiting, size = self._waiting.setdefault(length, []), max(1, self.step_tokens // length)
+        waiting.append(pieces)
+        if len(waiting) == 2 * size:
+            self._leave(length, size)
+
+    def _leave(self, length: int, count: int) -> None:
+        waiting = self._waiting[length]
+        self.ready += [(length, self._next_group, pieces) for pieces in waiting[:count]]
+        del waiting[:count]
+        self._next_group += 1
 
     def add(self, doc, ids: np.ndarray) -> None:
         n, at = len(ids), 0
@@ -122,6 +127,11 @@ class Packer:
                 gap -= len(pieces[-1][2])
             self._emit(length, pieces)
             left -= length
+        for length, waiting in self._waiting.items():
+            if len(waiting) * length > max(length, self.step_tokens):
+                self._leave(length, (len(waiting) + 1) // 2)
+            if waiting:
+                self._leave(length, len(waiting))
 
 
 def default_tokenizer_path() -> str:
@@ -132,7 +142,7 @@ def default_tokenizer_path() -> str:
 
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
-    end_id: int = 1, window: int = 2048, tiers: int = 4, step_tokens: int = 16384,
+    end_id: int = 1, window: int = 2048, tiers: int = 4, step_tokens: int = 16384, plain_specials: bool = False,
 ) -> DataFrame:
     """One row per piece; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -146,7 +156,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        encoder, packer, sequence = tokenizer(path, False), Packer(window, tiers, step_tokens), base
+        encoder, packer, sequence = tokenizer(path, False, plain_specials), Packer(window, tiers, step_tokens), base
         end = np.array([end_id], np.uint32)
 
         def out() -> pa.RecordBatch:

@@ -3,8 +3,9 @@
 Both vocabularies cut a text into words before merging, and no word spans the
 places where texts are cut here, so the ids of the pieces, one after the other,
 are the ids of the text.  Pieces not met yet are encoded by the library, many
-in a row with a token between them that none of them holds; texts whose white
-space could join words across a cut are encoded whole.
+in a row with a token between them that none of them holds; texts that hold an
+added token's string or white space that could join words across a cut are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -27,17 +28,22 @@ _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 class PieceTokenizer:
     """``spaces``: whether a space belongs to the word after it, or is dropped.
 
+    Strings of added tokens, such as an end of text, become their ids, as the
+    library has it; with ``plain_specials`` they are taken as plain text, which
+    is safer where texts are not trusted.
+
     With spaces, a piece is what stands between single spaces and line breaks;
     one that starts a line carries the line break, and each text is taken as if
     a line break came before it, whose id is dropped at the end.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = plain_specials
+        self._added = [] if plain_specials else [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._spaces = spaces
         self._mark = "\n" if spaces else " \x01 "
         (self._mark_id,) = self._ids([self._mark])[0]
@@ -75,6 +81,8 @@ class PieceTokenizer:
 
     def _spaced(self, text: str) -> str | None:
         """The text with a space between pieces; None if it must be encoded whole."""
+        if any(map(text.__contains__, self._added)):
+            return None
         if not self._spaces:
             return None if "\x01" in text else text.replace("\n", " ")
         if any(map(text.__contains__, _OTHER_SPACE)):
@@ -116,8 +124,8 @@ class PieceTokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str, spaces: bool) -> PieceTokenizer:
-    return PieceTokenizer(path, spaces)
+def tokenizer(path: str, spaces: bool, plain_specials: bool = False) -> PieceTokenizer:
+    return PieceTokenizer(path, spaces, plain_specials)
 
 
 def batches_of(texts: list, most_chars: int = 8_000_000):

@@ -210,13 +210,16 @@ def test_pieces_are_the_whole(documents, name, spaces):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab cdeéß字🙂 \n\t's't12!?--\x01\x1c\x85 \xa0́ thein<|endoftext|>") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += [t for _, t, _ in documents] + ["", " ", "\n", " a", "a ", "a\n", None]
-    got = tokens.PieceTokenizer(public_tokenizers.path(name), spaces).encode(texts)
-    want = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
-    assert all(list(g) == w.ids for g, w in zip(got, want, strict=True))
+    texts += ["x <|endoftext|> y", "<|endoftext|>", "a<|startoftext|>b\n<|ENDOFTEXT|>", "<|endoftext|><|endoftext|> the end", " <|endoftext|>"]
+    for plain in (False, True):  # False: the library as it is
+        library.encode_special_tokens = plain
+        got = tokens.PieceTokenizer(public_tokenizers.path(name), spaces, plain).encode(texts)
+        want = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert all(list(g) == w.ids for g, w in zip(got, want, strict=True))
+    assert len(tokens.PieceTokenizer(public_tokenizers.path(name), spaces).encode(["x <|endoftext|> y"])[0]) <= 4
 
 
 def test_packer_fills_windows():
@@ -236,6 +239,9 @@ def test_packer_fills_windows():
     for i, ids in enumerate(docs):
         assert np.array_equal(np.concatenate([p for _, p in sorted(pieces[i], key=lambda x: x[0])]), ids)
     assert all(len(set(g)) == 1 and sum(g) <= 16384 for g in groups.values())
+    for length in {n for n, _, _ in packer.ready}:  # full groups, then two that differ by one window at most
+        sizes = [len(g) for _, g in sorted(groups.items()) if g[0] == length]
+        assert all(n * length == 16384 for n in sizes[:-2]) and (len(sizes) < 2 or 0 <= sizes[-2] - sizes[-1] <= 1)
     assert sum(n for n, _, _ in packer.ready if n < 256) < 256
 
 
@@ -244,7 +250,6 @@ def expected_ids(texts, name, end):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
 
 
@@ -261,6 +266,10 @@ def test_op8(spark, sf_dir, documents):
         assert r.offset == sequences.get(r.sequence_id, 0)
         sequences[r.sequence_id] = r.offset + r.length
     assert all(n <= 2048 for n in sequences.values())
+    lengths, groups = {r.sequence_id: (r.step_group, r.sequence_length) for r in rows}, {}
+    for group, n in lengths.values():
+        groups.setdefault(group, []).append(n)
+    assert all(len(set(g)) == 1 and sum(g) <= 16384 for g in groups.values()) and {n for g in groups.values() for n in g} >= {2048, 1024, 512}
     assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in sequences.values()) == 0
 
 
@@ -396,3 +405,14 @@ def test_kneser_ney_by_definition():
         want += np.log2(plain_probability([tuple(p.tolist()) for p in parts], text[max(0, i - 2) : i + 1].tolist(), 3))
     got = model.entropies([text])[0, 0]
     assert got == pytest.approx(-want / (len(text) - 1), rel=1e-6)
+
+
+def test_one_id_is_dealt_to_many_tasks(spark):
+    """Files of a table whose rows have one id or none come from many partitions."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i // 4} of few words") for i in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder, index = arrow_tokens.write_tokens(docs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = arrow_tokens.read_ids(folder, index).collect()
+    assert len({r.partition for r in rows}) == 4 and len(rows) == 400
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None] * 200 + [7] * 200
