@@ -7,7 +7,9 @@ them back in text order and hashes the pair.  Text with moved or edited parts
 thus differs even where its set of k-mers does not.
 
 Elements are packed into longs (hash above, position below), so that sorting,
-the only step above linear, runs on primitive arrays.
+the only step above linear, runs on primitive arrays.  Positions take 24 bits,
+or 31 in texts of more k-mers.  A bucket's code has 16 bits, so two different
+pairs agree by chance once in 65,536 buckets.
 
 Edge cases: a null or empty text has one k-mer, the empty sequence; a text of
 fewer than k words has one k-mer, all its words.  Equal texts have equal
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 from .common import let
 
 _POS_BITS = 24
-_POS = (1 << _POS_BITS) - 1
+_WIDE_POS_BITS = 31
+#: Runs of ids; rows without an id are dealt by 48 bits of their text's hash.
+_RUN_BITS = 7
+_NO_ID = -(1 << 63)
 
 
 def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
@@ -33,8 +38,14 @@ def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
     bits = sketches.bit_length() - 1
     if sketches != 1 << bits or not 1 <= bits <= 12:
         raise ValueError("sketches must be a power of two, 2 to 4096")
-    low = F.lit(_POS).cast("long")
-    high = F.lit(~_POS).cast("long")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return let(words, lambda w: F.when(F.size(w) < 1 << _POS_BITS, _sketch(w, k, bits, _POS_BITS)).otherwise(
+        _sketch(w, k, bits, _WIDE_POS_BITS)))
+
+
+def _sketch(words: Column, k: int, bits: int, pos_bits: int) -> Column:
+    low = F.lit((1 << pos_bits) - 1).cast("long")
+    high = F.lit(-(1 << pos_bits)).cast("long")
 
     def bucket(x: Column) -> Column:
         return F.shiftrightunsigned(x, 64 - bits)
@@ -81,8 +92,7 @@ def order_minhash(text: Column, k: int = 2, sketches: int = 64) -> Column:
             return (bucket(one) * 65536 + code.bitwiseAND(F.lit(65535))).cast("int")
         return F.transform(run_starts(e, bucket), slot)
 
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(let(let(words, kmers), elements), slots)
+    return let(let(kmers(words), elements), slots)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,7 +121,7 @@ def _next_lower(buckets: DataFrame) -> DataFrame:
         seen = level.withColumn("up", up).withColumn("after", F.lead("head").over(w))
         levels.append(seen)
         level = seen.groupBy("up").agg(F.max("head").alias("head")).select(F.col("up").alias("g"), "head")
-    # 64 - 7 - 48 bits of a bucket are left: at most 512 rows
+    # 64 - 7 - 48 bits of a bucket of ids are left and one row for those without: at most 513 rows
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("g"))
     whole = Window.partitionBy(F.lit(0))
     last = level.select(
@@ -130,18 +140,22 @@ def fingerprint_with_edits(
     """Fingerprints of each text, of its edited text and of the next document.
 
     The next document is the one after in descending id order (ids equal: by
-    text; null ids last), after the last the first.  The edited text has its
+    text; rows without an id last, by descending XXH64 of the text), after the
+    last the first.  The edited text has its
     last floor(n / ``edited_share``) code points replaced by the first as many
     of the next text, or all if it is shorter.
 
     Columns: doc_id, n_chars, edited, fingerprint, edited_fingerprint,
     next_fingerprint.  Texts are exchanged once, dealt by runs of 128 ids, and
     the order within a run is a window; only the first text of each run is
-    sent once more, to the run before.  A table of one row is its own next.
+    sent once more, to the run before.  Rows without an id are dealt by their
+    text's hash; only rows alike in both id and text, or in a repeated id, must
+    share a run.  A table of one row is its own next.
     """
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), t.alias("text"))
-    rows = rows.withColumn("bucket", F.coalesce(F.shiftright("doc_id", 7), F.lit(-(1 << 57)).cast("long")))
+    own = F.shiftrightunsigned(F.xxhash64("text"), 16)
+    rows = rows.withColumn("bucket", F.coalesce(F.shiftright("doc_id", _RUN_BITS), own + F.lit(_NO_ID)))
     # the one exchange of texts; fingerprints are worked out behind it, so that both its readers share it
     dealt = rows.repartition("bucket")
 
