@@ -7,7 +7,9 @@ and tiles, undoes horizontal differencing and emits one row per page.
 Both work batch by batch within a partition; nothing is exchanged.
 
 Edge cases: a null file gives no page; a file that cannot be read gives one row
-with ``error`` set and no pixels; each repeated row gives its pages again.
+with ``error`` set and no pixels, as does a page whose size its stored bytes
+cannot fill or that is larger than ``MOST_BYTES``; each repeated row gives its
+pages again.
 Payloads are padded with zeros to a positive multiple of the width.
 """
 
@@ -32,6 +34,11 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CLEAR, END_OF_INFORMATION = 256, 257
 
+#: Decoded bytes of a page at most; a text of 2 GB fits.
+MOST_BYTES = 1 << 31
+#: Decoded bytes that one stored byte can give at most, by compression: deflate 1032, PackBits 64, LZW 4096 bytes for 9 bits.
+_EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 3641, DEFLATE: 1032, OLD_DEFLATE: 1032}
+
 
 def packbits_encode(data: bytes) -> bytes:
     out, i, n, literal = bytearray(), 0, len(data), 0
@@ -58,18 +65,19 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def packbits_decode(data: bytes, size: int | None = None) -> bytes:
+    """At least ``size`` bytes where given; what stands behind them is not decoded."""
+    out, i, n, made = [], 0, len(data), 0
+    while i < n and (size is None or made < size):
         head = data[i]
         if head < 128:
             out.append(data[i + 1 : i + 2 + head])
-            i += head + 2
+            i, made = i + head + 2, made + head + 1
         elif head == 128:
             i += 1
         else:
             out.append(data[i + 1 : i + 2] * (257 - head))
-            i += 2
+            i, made = i + 2, made + 257 - head
     return b"".join(out)
 
 
@@ -114,8 +122,9 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """At least ``size`` bytes where given; what stands behind them is not decoded."""
+    made, first = 0, [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, out, last = list(first), 9, [], b""
     acc = filled = 0
     for byte in data:
@@ -141,6 +150,9 @@ def lzw_decode(data: bytes) -> bytes:
             raise ValueError("LZW code beyond the table")
         out.append(word)
         last = word
+        made += len(word)
+        if size is not None and made >= size:
+            break
         if len(table) + 1 >= (1 << width) and width < 12:
             width += 1
     return b"".join(out)
@@ -154,13 +166,14 @@ def _compress(data: bytes, compression: int) -> bytes:
     return zlib.compress(data, 6) if compression == DEFLATE else data
 
 
-def _decompress(data: bytes, compression: int) -> bytes:
+def _decompress(data: bytes, compression: int, size: int) -> bytes:
+    """``size`` bytes, or a little more."""
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, size)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if compression == NONE:
         return data
     raise ValueError(f"compression {compression} is not read")
@@ -237,6 +250,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, list[int]]]]:
             place = at + 10 + 12 * i
             if TYPE_SIZE[kind] * count > 4:
                 (place,) = struct.unpack_from(order + "I", data, place)
+            if place + TYPE_SIZE[kind] * count > len(data):
+                raise ValueError("values lie beyond the file")
             tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place))
         yield order, tags
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
@@ -257,13 +272,22 @@ def decode_page(data: bytes, tags: dict[int, list[int]]) -> np.ndarray:
     else:
         across, down = width, min(tags.get(ROWS_PER_STRIP, [height])[0], height)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
-    out = np.zeros((height, width, samples), np.uint8)
+    if min(width, height, samples, across, down) < 1:
+        raise ValueError("a size is zero")
     columns = -(-width // across)
+    if len(offsets) != columns * -(-height // down):
+        raise ValueError("strips or tiles do not cover the page")
+    stored = sum(min(n, max(0, len(data) - at)) for at, n in zip(offsets, counts, strict=True))
+    if width * height * samples > min(MOST_BYTES, stored * _EXPANSION.get(compression, 0) + 64):
+        raise ValueError("the page is larger than its stored bytes can fill")
+    if across * down * samples > 4 * max(width * height * samples, 1 << 20):
+        raise ValueError("tiles are much larger than the page")
+    out = np.zeros((height, width, samples), np.uint8)
     for i, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         y, x = i // columns * down, i % columns * across
         rows = down if TILE_OFFSETS in tags else min(down, height - y)
-        raw = _decompress(data[at : at + n], compression)
-        part = np.frombuffer(raw, np.uint8, rows * across * samples).reshape(rows, across, samples)
+        size = rows * across * samples
+        part = np.frombuffer(_decompress(data[at : at + n], compression, size), np.uint8, size).reshape(rows, across, samples)
         if predictor == 2:
             part = np.add.accumulate(part, axis=1, dtype=np.uint8)
         out[y : y + down, x : x + across] = part[: height - y, : width - x]
@@ -330,7 +354,7 @@ def read_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
             for n, (_, tags) in enumerate(directories(data)):
                 page = decode_page(data, tags)
                 yield n, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page), None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
             yield n, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

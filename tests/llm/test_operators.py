@@ -1,7 +1,9 @@
 """The other operators against brute force, round trips or held-out labels."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from itertools import product
 
@@ -146,6 +148,40 @@ def test_op3(spark, sf_dir, documents):
         padded = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
             len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = tiff.encode([padded], **tiff.LAYOUTS[zlib.crc32(padded) % len(tiff.LAYOUTS)])
+        share = [padded.count(b) / len(padded) for b in set(padded)]
+        mean = sum(padded) / len(padded)
+        spread = (sum((b - mean) ** 2 for b in padded) / len(padded)) ** 0.5
+        want = (64, len(padded) // 64, mean, spread, -sum(p * math.log2(p) for p in share))
+        got = [float(x) for x in re.findall(r"[0-9.]+", r.feature)]
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and got == pytest.approx(want, abs=2e-4)
+
+
+def _patched(data, tag, value):
+    """The file with another value of a tag of its first directory."""
+    import struct
+
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, at)
+    for place in range(at + 2, at + 2 + 12 * n, 12):
+        if struct.unpack_from("<H", data, place)[0] == tag:
+            struct.pack_into("<I", out, place + 8, value)
+    return bytes(out)
+
+
+def test_tiff_bad_files_give_an_error_row(spark):
+    good = tiff.encode([b"abc" * 500], compression=tiff.LZW, rows_per_strip=4096)
+    tiled = tiff.encode([b"abc" * 500], compression=tiff.DEFLATE, tile=16)
+    bomb = tiff.encode([b"\0" * 50_000_000], compression=tiff.DEFLATE, rows_per_strip=1 << 24)
+    bad = [_patched(good, t, v) for t, v in ((tiff.WIDTH, 0), (tiff.LENGTH, 0), (tiff.LENGTH, 4_000_000_000), (tiff.WIDTH, 4_000_000_000),
+                                             (tiff.ROWS_PER_STRIP, 0), (tiff.SAMPLES, 0), (tiff.STRIP_COUNTS, 3), (tiff.STRIP_OFFSETS, 1 << 30))]
+    bad += [_patched(tiled, t, v) for t, v in ((tiff.TILE_WIDTH, 0), (tiff.TILE_LENGTH, 4_000_000_000), (tiff.TILE_OFFSETS, 1 << 30))]
+    bad += [good[: len(good) // 2], good[:9], b"MM\0*" + b"\xff" * 40]
+    rows = [(i, b) for i, b in enumerate(bad)] + [(100, _patched(bomb, tiff.LENGTH, 10)), (101, good)]
+    pages = {r.i: r for r in tiff.read_pages(spark.createDataFrame(rows, "i int, media binary")).collect()}
+    assert len(pages) == len(rows) and all(pages[i].error and pages[i].pixels is None for i in range(len(bad)))
+    assert pages[101].error is None and pages[100].pixels == b"\0" * 640  # what the page does not need is not decoded
 
 
 def test_tiff_odd_rows(odd):
