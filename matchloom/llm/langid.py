@@ -9,8 +9,9 @@ sample: a text is rejected if its cross-entropy exceeds what its language's own
 texts show by a wide margin, longer texts being held closer to the mean.
 
 Only the text is read for a prediction.  The sample holds at most
-``max_per_language`` documents of each language, chosen by a hash of their id; each is read whole, as is
-every text that is scored.  Texts that a model of the sample's other half
+``max_per_language`` documents of each language, chosen by a hash of their id, and of each at most
+``max_chars`` characters to learn from, so the driver's work is bounded; every text that is scored is
+read whole.  A model of more than ``max_model_bytes`` raises an error before it is broadcast.  Texts that a model of the sample's other half
 rejects are not learned from, so a wrong label does not make junk acceptable;
 a language of fewer than twenty texts keeps all of them, and its limit follows
 halves of its texts that a model of the other halves has not seen.
@@ -42,10 +43,7 @@ _JUDGES = 10
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, bool)
-    for start in range(0, 0x30000, 0x1000):
-        table[start : start + 0x1000] = [chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(start, start + 0x1000)]
-    return table
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -156,7 +154,10 @@ class Model:
             out[i] = (self.languages[b], float(min(max(p, 0.0), 1.0)), bool(r))
 
 
-def train(samples: dict[str, list[str | None]], order: int = 4, discount: float = 0.75, halved: bool = True) -> Model:
+def train(
+    samples: dict[str, list[str | None]], order: int = 4, discount: float = 0.75, halved: bool = True,
+    max_model_bytes: int = 400_000_000,
+) -> Model:
     """Fit on a bounded sample: texts of each language."""
     languages = sorted(samples)
     parts = {x: [s for s in map(symbols, samples[x]) if len(s)] for x in languages}
@@ -166,6 +167,7 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
     counts: list[np.ndarray] = []
     shorter: list[np.ndarray] = []  # of each n-gram: without its first symbol
     prefixes: list[np.ndarray] = []  # without its last
+    size_of = 0
     for n in range(1, order + 1):
         per, info = [], {}
         for x in languages:
@@ -177,7 +179,10 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
                 prefix = np.concatenate([gram_hashes(s, n - 1)[:-1] for s in parts[x] if len(s) >= n] or [np.zeros(0, np.uint64)])
                 info[x] = (suffix[at], prefix[at])
         table = np.unique(np.concatenate([u for u, _ in per])) if per else np.zeros(0, np.uint64)
-        matrix = np.zeros((len(table), n_lang))
+        size_of += len(table) * n_lang * 8
+        if size_of > max_model_bytes:
+            raise ValueError(f"the model takes more than {max_model_bytes} bytes; learn from fewer texts or characters")
+        matrix = np.zeros((len(table), n_lang), np.float32)
         left, right = np.zeros(len(table), np.uint64), np.zeros(len(table), np.uint64)
         for j, (x, (u, c)) in enumerate(zip(languages, per, strict=True)):
             where = np.searchsorted(table, u)
@@ -198,7 +203,7 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
         np.add.at(kinds, np.searchsorted(tables[n - 1], shorter[n]), (counts[n] > 0).astype(float))
         used.append(kinds)
     size = max(1, len(tables[0]) if tables else 1) + 1
-    logp, contexts, backoff = [], [np.zeros(0, np.uint64)], [np.zeros((0, n_lang))]
+    logp, contexts, backoff = [], [np.zeros(0, np.uint64)], [np.zeros((0, n_lang), np.float32)]
     prob = None
     for n in range(1, order + 1):
         c = used[n - 1]
@@ -215,8 +220,8 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
             lower = prob[np.searchsorted(tables[n - 2], shorter[n - 1])]
             prob = np.maximum(c - discount, 0) / np.maximum(total[group], 1) + spare[group] * lower
             contexts.append(context)
-            backoff.append(np.log(np.maximum(spare, 1e-12)))
-        logp.append(np.log(np.maximum(prob, 1e-12)))
+            backoff.append(np.log(np.maximum(spare, 1e-12)).astype(np.float32))
+        logp.append(np.log(np.maximum(prob, 1e-12)).astype(np.float32))
     model = Model(languages, order, tables, logp, contexts, backoff, float(np.log(1 / size / 2)),
                   np.zeros(n_lang), np.zeros(n_lang), np.zeros(n_lang))
     for j, x in enumerate(languages):
@@ -231,7 +236,7 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
     few = {x: [t or "" for t in samples[x]] for x in languages if len(parts[x]) < 2 * _JUDGES} if halved else {}
     for i in (0, 1) if few else ():
         cut = {x: [(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts] for x, texts in few.items()}
-        other = train({x: [c[i] for c in texts] for x, texts in cut.items()}, order, discount, halved=False)
+        other = train({x: [c[i] for c in texts] for x, texts in cut.items()}, order, discount, halved=False, max_model_bytes=max_model_bytes)
         for x in other.languages:
             unseen = [s for s in (symbols(c[1 - i]) for c in cut[x]) if len(s)]
             if unseen:
@@ -242,7 +247,7 @@ def train(samples: dict[str, list[str | None]], order: int = 4, discount: float
     return model
 
 
-def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allowed=None) -> DataFrame:
+def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allowed=None, max_chars: int = 200_000) -> DataFrame:
     """(lang, text) of the documents to learn from, by a hash of their id.
 
     The window keeps a bounded number of ids of each language within each task
@@ -258,18 +263,19 @@ def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allo
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         known.join(F.broadcast(common), "lang").select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_per_language).select("doc_id", "lang")
+        .withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= max_per_language).select("doc_id", "lang")
     )
     # bounded by max_languages * max_per_language rows of two values
-    return docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select(
-        "doc_id", "lang", "text"
-    )
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    # one row stays of those that repeat an id
+    text = F.coalesce(F.substring("text", 1, max_chars), F.lit(""))
+    return found.groupBy("doc_id", "lang").agg(F.min(text).alias("text"))
 
 
-def fit(docs: DataFrame, max_per_language: int = 200, max_languages: int = 64, allowed=None, **options) -> Model:
-    rows = sample_rows(docs, max_per_language, max_languages, allowed)
+def fit(docs: DataFrame, max_per_language: int = 200, max_languages: int = 64, allowed=None, max_chars: int = 200_000, **options) -> Model:
+    rows = sample_rows(docs, max_per_language, max_languages, allowed, max_chars)
     samples: dict[str, list] = {}
-    for r in sorted({(r["lang"], r["doc_id"], r["text"] or "") for r in rows.toLocalIterator()}):
+    for r in sorted((r["lang"], r["doc_id"], r["text"]) for r in rows.toLocalIterator()):
         samples.setdefault(r[0], []).append(r[2])
     return train(_own(samples, **options), **options)
 

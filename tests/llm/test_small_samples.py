@@ -37,3 +37,16 @@ def test_no_language_is_left_out_in_silence(spark):
     assert len(langid.fit(docs, max_languages=5).languages) == 5
     with pytest.raises(ValueError, match="more than 4 languages"):
         langid.fit(docs, max_languages=4)
+
+
+def test_models_have_a_size_bound():
+    with pytest.raises(ValueError, match="bytes"):
+        langid.train({x: texts(x, 20, 3) for x in ("aa", "bb", "cc")}, max_model_bytes=10_000)
+
+
+def test_letters_of_all_planes():
+    model = langid.train({x: texts(x, 20, 3) for x in ("aa", "bb")})
+    (lang, score, _), = model.classify([chr(0x30010) * 5 + " " + chr(0x20001)])
+    assert lang in ("aa", "bb") and score > 0
+    (lang, score, _), = model.classify(["k" * 2_000_000])  # one long token
+    assert lang in ("aa", "bb")
