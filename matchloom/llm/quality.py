@@ -1,15 +1,19 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes counts of character-class trigrams, word shapes and repetition
-marks, weighted by inverse document frequency.  A truncated singular value
-decomposition of a bounded sample of labelled texts gives the latent space;
-the sample's vectors and labels are broadcast, and each document is compared
-with all of them by exact cosine products, block by block.  The nearest
-neighbours vote with weights that grow with similarity.
+A text becomes counts of its words, by a hash, beside character-class trigrams,
+word shapes and repetition marks.  Words are weighted by inverse document
+frequency over all documents and count as much as the rest together.  A
+truncated singular value decomposition of a bounded sample of labelled texts
+gives the latent space; the sample's vectors and labels are broadcast, and each
+document is compared with all of them by exact cosine products, block by block.
+The nearest neighbours vote with weights that grow with similarity; all that
+tie with the last of them (within ``TIE``) vote too, so copies in the sample and
+the order of rows make no difference.
 
 Only the text is read for a score.  The sample holds at most ``max_labelled``
-rows, chosen by a hash of their id, so the broadcast has a fixed bound and the
-choice does not depend on the order of rows.
+rows, chosen by a hash of their id, and of each at most ``max_chars`` characters
+to learn from, so the driver's work and the broadcast have a fixed bound and the
+choice does not depend on the order of rows.  Every text is scored whole.
 
 Edge cases: a null or empty text has no features and scores as the share of
 label 1 in the sample, as does any text if there are no labels (then 1.0); null labels
@@ -18,9 +22,9 @@ are not learned from; repeated rows score alike.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,11 @@ _CLASSES = 12
 _TRIGRAMS = _CLASSES**3
 _SHAPES = 256
 _MARKS = 24
-WIDTH = _TRIGRAMS + _SHAPES + _MARKS
+_PLAIN = _TRIGRAMS + _SHAPES + _MARKS
+_WORDS = 1 << 12
+WIDTH = _PLAIN + _WORDS
+#: Cosines that differ by no more are alike.
+TIE = 1e-6
 
 #: Class of each ASCII character; letters beyond ASCII go with the lower case.
 _CLASS = np.full(128, 9, np.uint8)
@@ -43,7 +51,21 @@ for _chars, _c in (("abcdefghijklmnopqrstuvwxyz", 0), ("ABCDEFGHIJKLMNOPQRSTUVWX
         _CLASS[ord(_ch)] = _c
 
 
-@lru_cache(maxsize=200_000)
+class _Words(dict):
+    """Of words met before: number of the word's bucket above, of its shape in the low bits; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        bucket = zlib.crc32(word.lower().strip(_EDGES).encode("utf-8", "replace")) % _WORDS
+        made = self[word] = bucket * _SHAPES + _shape(word)
+        return made
+
+
+_EDGES = ".,;:!?()\"'|"
+_SEEN = _Words()
+
+
 def _shape(word: str) -> int:
     """A word's ends and case, as a feature number."""
     def kind(c: str) -> int:
@@ -67,9 +89,10 @@ def features(text: str | None) -> np.ndarray:
         grams = (kinds[:-2] * _CLASSES + kinds[1:-1]) * _CLASSES + kinds[2:]
         out[:_TRIGRAMS] = np.bincount(grams, minlength=_TRIGRAMS)
         out[:_TRIGRAMS] /= len(grams)
-    shapes = np.bincount(list(map(_shape, words)), minlength=_SHAPES)
-    out[_TRIGRAMS : _TRIGRAMS + _SHAPES] = shapes / shapes.sum()
-    marks = out[_TRIGRAMS + _SHAPES :]
+    codes = np.fromiter(map(_SEEN.__getitem__, words), np.int64, len(words))
+    out[_TRIGRAMS : _TRIGRAMS + _SHAPES] = np.bincount(codes % _SHAPES, minlength=_SHAPES) / len(words)
+    out[_PLAIN:] = np.bincount(codes // _SHAPES, minlength=_WORDS) / len(words)
+    marks = out[_TRIGRAMS + _SHAPES : _PLAIN]
     repeated = sum(map(str.__eq__, words, words[1:])) / max(1, len(words) - 1)
     distinct = len(set(words)) / len(words)
     lines = text.split("\n")
@@ -102,22 +125,38 @@ class Model:
         latent, k = self.project(rows), min(self.neighbours, len(self.labels))
         for at in range(0, len(rows), block):
             cosine = latent[at : at + block] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0).astype(np.float64) ** self.power
-            total = weight.sum(axis=1)
-            vote = (weight * self.labels[near]).sum(axis=1)
+            last = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+            weight = np.where(cosine >= last - TIE, np.maximum(cosine, 0.0), 0.0) ** self.power
+            total = weight.sum(axis=1, dtype=np.float64)
+            vote = weight @ self.labels
             known = (total > 1e-9) & (rows[at : at + block].any(axis=1))
             out[at : at + block][known] = vote[known] / total[known]
         return np.clip(out, 0.0, 1.0)
 
 
-def train(texts: list[str | None], labels: list[int], dimensions: int = 48, neighbours: int = 15, power: float = 8.0) -> Model:
-    """Fit on a bounded sample; plain linear algebra on a few thousand rows."""
+def train(
+    texts: list[str | None], labels: list[float], dimensions: int = 64, neighbours: int = 15, power: float = 8.0,
+    found_in: np.ndarray | None = None, total: int = 0,
+) -> Model:
+    """Fit on a bounded sample; plain linear algebra on a few thousand rows.
+
+    ``found_in``: in how many of ``total`` documents each word bucket occurs;
+    of the sample's own if not given.
+    """
     y = np.array(labels, np.float64)
     prior = float(y.mean()) if len(y) else 1.0
-    rows = np.array([features(t) for t in texts], np.float32).reshape(len(texts), WIDTH)
-    weights = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 1).astype(np.float32)
-    weights[_TRIGRAMS + _SHAPES :] *= 0.5
+    rows = np.zeros((len(texts), WIDTH), np.float32)
+    for i, text in enumerate(texts):
+        rows[i] = features(text)
+    seen, n = (rows > 0).sum(axis=0), np.full(WIDTH, len(rows))
+    if found_in is not None:
+        seen[_PLAIN:], n[_PLAIN:] = found_in, total
+    weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
+    weights[_TRIGRAMS + _SHAPES : _PLAIN] *= 0.5
+    if len(rows):
+        # words weigh as much as all else, on average over the sample
+        mass = rows.mean(axis=0) * weights**2
+        weights[_PLAIN:] *= np.sqrt(mass[:_PLAIN].sum() / max(mass[_PLAIN:].sum(), 1e-9))
     scaled = np.sqrt(rows) * weights
     if len(rows):
         # right singular vectors by the smaller of the two Gram matrices
@@ -135,8 +174,8 @@ def train(texts: list[str | None], labels: list[int], dimensions: int = 48, neig
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, allowed=None) -> DataFrame:
-    """At most ``max_labelled`` rows (text, label), by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, allowed=None, max_chars: int = 200_000) -> DataFrame:
+    """At most ``max_labelled`` rows (doc_id, text, label), by a hash of the id; of each text ``max_chars`` to learn from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         known = known.where(allowed)
@@ -144,16 +183,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labe
         known.groupBy("doc_id").agg(F.min(label_col).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    # bounded by max_labelled rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # bounded by max_labelled rows of two numbers; one row stays of those that repeat an id
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.substring("text", 1, max_chars), F.lit(""))
+    return found.groupBy("doc_id", "label").agg(F.min(text).alias("text")).select("doc_id", "text", "label")
+
+
+def words_found(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many of all documents each word bucket occurs, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = np.zeros(_WORDS, np.int64), 0
+        for batch in batches:
+            total += batch.num_rows
+            for text in batch.column(0):
+                codes = np.fromiter(map(_SEEN.__getitem__, (text.as_py() or "").split()), np.int64)
+                found[np.unique(codes // _SHAPES)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_WORDS + 1)), pa.array(np.append(found, total))], ["bucket", "n"])
+
+    counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "bucket long, n long")
+    out = np.zeros(_WORDS + 1, np.int64)
+    for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # one row for each bucket
+        out[r["bucket"]] = r["n"]
+    return out[:-1], int(out[-1])
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, allowed=None, **options
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, allowed=None, max_chars: int = 200_000,
+    **options,
 ) -> Model:
-    sample = labelled_sample(docs, labels, label_col, max_labelled, allowed)
-    rows = sorted({(r["doc_id"], r["text"] or "", r["label"]) for r in sample.toLocalIterator()})
-    return train([r[1] for r in rows], [r[2] for r in rows], **options)
+    sample = labelled_sample(docs, labels, label_col, max_labelled, allowed, max_chars)
+    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in sample.toLocalIterator())
+    found_in, total = words_found(docs)
+    return train([r[1] for r in rows], [r[2] for r in rows], found_in=found_in, total=total, **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:

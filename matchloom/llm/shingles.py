@@ -43,7 +43,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         made = self[word] = xxh64_intdigest(word, 7)
         return made

@@ -361,11 +361,47 @@ def test_knn_is_exact(documents):
     latent = model.project(rows)
     for got, x in zip(model.score(rows, block=7), latent, strict=True):
         cosine = model.vectors @ x
-        near = np.argsort(-cosine, kind="stable")[: model.neighbours]
+        near = np.flatnonzero(cosine >= np.sort(cosine)[-model.neighbours] - quality.TIE)
         w = np.maximum(cosine[near], 0).astype(float) ** model.power
         assert got == pytest.approx((w * model.labels[near]).sum() / w.sum(), abs=2e-3)
 
 
+def test_labels_that_depend_on_words_alone():
+    """Texts of one shape whose label is told by vocabulary."""
+    rng = np.random.default_rng(1)
+    kinds = [[f"w{i}" for i in range(300)], [f"w{i}" for i in range(300, 600)]]
+    common = [f"c{i}" for i in range(600)]
+    made = [(" ".join(rng.permutation([*rng.choice(common, 80), *rng.choice(kinds[i % 2], 25)])), i % 2) for i in range(1400)]
+    model = quality.train([t for t, _ in made[:1000]], [y for _, y in made[:1000]])
+    scores = model.score(np.array([quality.features(t) for t, _ in made[1000:]]))
+    assert np.mean((scores >= 0.5) == np.array([y for _, y in made[1000:]])) >= 0.95
+
+
+def test_ties_all_vote():
+    """Copies in the sample and the order of its rows make no difference."""
+    rng = np.random.default_rng(2)
+    texts = [f"text {i % 9} of words that come {i % 5} times" for i in range(90)]
+    labels = [int(x) for x in rng.integers(0, 2, 90)]
+    rows = np.array([quality.features(t) for t in texts[:20]])
+    model = quality.train(texts, labels, neighbours=4)
+    turned = quality.Model(model.weights, model.basis, model.vectors[::-1].copy(), model.labels[::-1].copy(), model.prior, 4, model.power)
+    assert model.score(rows) == pytest.approx(turned.score(rows), abs=1e-5)
+
+
+def test_words_are_counted_over_all_documents(spark):
+    docs = spark.createDataFrame([(i, f"all word{i}" if i else None) for i in range(50)], "doc_id long, text string")
+    found, total = quality.words_found(docs)
+    assert total == 50 and found[quality._SEEN["all"] // 256] >= 49 and found.sum() <= 98
+
+
+def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text {i}", "en") for i in range(300)] + [(8, "ein Text", "de")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    assert quality.labelled_sample(docs, labels, "quality", 50).count() == 2
+    docs = docs.union(spark.createDataFrame([(9, "another text", "en")], docs.schema))
+    assert langid.sample_rows(docs, 2, 64).count() == 3
+
+
 def test_quality_odd_rows(spark, odd):
     model = quality.train(["good words here", "BAD!! BAD!!", "more good words"], [1, 0, 1])
     scores = {r.doc_id: r.score for r in quality.score(odd, model).collect()}
