@@ -104,6 +104,10 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # per feature
@@ -115,8 +119,7 @@ class Model:
     power: float
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        latent = (np.sqrt(rows) * self.weights) @ self.basis
-        return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        return _unit((np.sqrt(rows) * self.weights) @ self.basis)
 
     def score(self, rows: np.ndarray, block: int = 256) -> np.ndarray:
         out = np.full(len(rows), self.prior)
@@ -148,7 +151,7 @@ def train(
     rows = np.zeros((len(texts), WIDTH), np.float32)
     for i, text in enumerate(texts):
         rows[i] = features(text)
-    seen, n = (rows > 0).sum(axis=0), np.full(WIDTH, len(rows))
+    seen, n = np.count_nonzero(rows, axis=0), np.full(WIDTH, len(rows))
     if found_in is not None:
         seen[_PLAIN:], n[_PLAIN:] = found_in, total
     weights = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
@@ -157,21 +160,19 @@ def train(
         # words weigh as much as all else, on average over the sample
         mass = rows.mean(axis=0) * weights**2
         weights[_PLAIN:] *= np.sqrt(mass[:_PLAIN].sum() / max(mass[_PLAIN:].sum(), 1e-9))
-    scaled = np.sqrt(rows) * weights
-    if len(rows):
-        # right singular vectors by the smaller of the two Gram matrices
-        if len(rows) <= WIDTH:
-            values, u = np.linalg.eigh(scaled @ scaled.T)
-            basis = scaled.T @ u[:, ::-1][:, :dimensions]
-        else:
-            values, v = np.linalg.eigh(scaled.T @ scaled)
-            basis = v[:, ::-1][:, :dimensions]
-        basis = basis / np.maximum(np.linalg.norm(basis, axis=0), 1e-9)
-    else:
-        basis = np.zeros((WIDTH, 1), np.float32)
-    model = Model(weights, basis.astype(np.float32), np.zeros((0, basis.shape[1]), np.float32), y, prior, neighbours, power)
-    model.vectors = model.project(rows) if len(rows) else model.vectors
-    return model
+    np.sqrt(rows, out=rows)
+    rows *= weights
+    basis = _latent(rows, dimensions) if len(rows) else np.zeros((WIDTH, 1), np.float32)
+    return Model(weights, basis, _unit(rows @ basis), y, prior, neighbours, power)
+
+
+def _latent(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The first right singular vectors, by subspace iteration from a fixed start."""
+    start = np.random.default_rng(0).standard_normal((len(rows), min(dimensions + 16, len(rows))))
+    q = start.astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(rows @ (rows.T @ q))
+    return np.linalg.svd(q.T @ rows, full_matrices=False)[2][:dimensions].T.copy()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, allowed=None, max_chars: int = 200_000) -> DataFrame:
