@@ -73,9 +73,17 @@ def map_beside(df: DataFrame, run, added: list[StructField]) -> DataFrame:
     ``run`` sees plain names (a dot in a name stops ``mapInArrow``) and gives
     the batch's columns, then the added ones.
     """
+    def released(batches):
+        import pyarrow as pa
+
+        for out in run(batches):
+            yield out
+            # several stages run in one worker; what this batch took is given back
+            pa.default_memory_pool().release_unused()
+
     plain = [f"c{i}" for i in range(len(df.columns))]
     same = [StructField(n, f.dataType, True) for n, f in zip(plain, df.schema.fields, strict=True)]
-    out = df.toDF(*plain).mapInArrow(run, StructType([*same, *added]))
+    out = df.toDF(*plain).mapInArrow(released, StructType([*same, *added]))
     return out.toDF(*df.columns, *[a.name for a in added])
 
 

@@ -35,7 +35,7 @@ def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingl
         from xxhash import xxh64_intdigest
 
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             made = []
             for value in batch.column(place):
                 text = value.as_py()
@@ -48,6 +48,7 @@ def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingl
                 pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(sign, longs),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[a.name for a in added]])
+        shingles.forget()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return map_beside(plain, run, added).withColumn("row", F.monotonically_increasing_id())

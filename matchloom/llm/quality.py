@@ -55,7 +55,7 @@ class _Words(dict):
     """Of words met before: number of the word's bucket above, of its shape in the low bits; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 100_000:
+        if len(self) >= 80_000:
             self.clear()
         bucket = zlib.crc32(word.lower().strip(_EDGES).encode("utf-8", "replace")) % _WORDS
         made = self[word] = bucket * _SHAPES + _shape(word)
@@ -200,6 +200,7 @@ def words_found(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
             for text in batch.column(0):
                 codes = np.fromiter(map(_SEEN.__getitem__, (text.as_py() or "").split()), np.int64)
                 found[np.unique(codes // _SHAPES)] += 1
+        _SEEN.clear()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_WORDS + 1)), pa.array(np.append(found, total))], ["bucket", "n"])
 
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "bucket long, n long")
@@ -234,8 +235,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             for at in range(0, batch.num_rows, 512):
                 texts = batch.column(place).slice(at, 512).to_pylist()
                 made.append(fitted.score(np.array([features(t) for t in texts], np.float32)))
+                del texts
             values = np.concatenate(made) if made else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, out_col])
+        _SEEN.clear()
 
     kept = docs.select(*[F.col(f"`{n}`") for n in names])
     return map_beside(kept, run, [StructField(out_col, DoubleType())])

@@ -43,7 +43,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) >= 150_000:
+        if len(self) >= 80_000:
             self.clear()
         made = self[word] = xxh64_intdigest(word, 7)
         return made
@@ -52,6 +52,11 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget() -> None:
+    """Give back what this worker holds of words."""
+    _WORDS.clear()
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted hashes of the different word shingles; one of all words if there are fewer."""
     words = (text or "").encode("utf-8").translate(_LOWER).split()
@@ -112,6 +117,7 @@ def often_seen(
                     yield counted(held)
                     held, size = [], 0
         yield counted(held)
+        forget()
 
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "h long, n long")
     counts = counts.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(most)

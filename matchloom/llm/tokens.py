@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps; the store is emptied when full.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 LONGEST_CACHED = 20
 _ROW = 5000
 #: White space other than space and line break.
