@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Within, Arrow batches hold ``most`` rows: for rows that can be very large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_matchloom_path", None)

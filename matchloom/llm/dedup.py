@@ -25,11 +25,12 @@ from .common import map_beside, materialize
 
 
 def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingle: int) -> DataFrame:
-    """The rows beside fp, shape (a hash of the shingle set), n, keys and sign."""
+    """The rows beside fp, shape (a hash of the shingle set), n, keys, sign and fine."""
     order = shingles.often_seen(docs, docs.columns[place], shingle) if similarity else None
     sent = docs.sparkSession.sparkContext.broadcast(order)
     added = [StructField("fp", LongType()), StructField("shape", LongType()), StructField("n", IntegerType()),
-             StructField("keys", ArrayType(LongType())), StructField("sign", ArrayType(LongType()))]
+             StructField("keys", ArrayType(LongType())), StructField("sign", ArrayType(LongType())),
+             StructField("fine", ArrayType(LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -41,11 +42,11 @@ def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingl
                 text = value.as_py()
                 s = shingles.shingle_set(text if similarity else None, shingle)
                 keys = shingles.prefix(s, similarity, *sent.value) if len(s) else s
-                made.append((simhash.simhash64(text), xxh64_intdigest(s.tobytes()), len(s), keys, shingles.signature(s)))
-            fp, shape, n, keys, sign = zip(*made, strict=True) if made else [()] * 5
+                made.append((simhash.simhash64(text), xxh64_intdigest(s.tobytes()), len(s), keys, shingles.signature(s), shingles.signature(s, len(s))))
+            fp, shape, n, keys, sign, fine = zip(*made, strict=True) if made else [()] * 6
             columns = [
                 *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, shape)],
-                pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(sign, longs),
+                pa.array(n, pa.int32()), pa.array(keys, longs), pa.array(sign, longs), pa.array(fine, longs),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *[a.name for a in added]])
         shingles.forget()
@@ -67,7 +68,7 @@ def keep_one(
     if similarity:
         # texts with the same shingles are one node; their fingerprints are linked to the node's
         chosen = rows.where("n > 0").groupBy("shape").agg(F.min("row").alias("row")).select("row")
-        nodes = rows.select("row", "shape", "fp", "n", "keys", "sign").join(chosen, "row", "left_semi")
+        nodes = rows.select("row", "shape", "fp", "n", "keys", "sign", "fine").join(chosen, "row", "left_semi")
         nodes = materialize(nodes.withColumnRenamed("row", "node"), "dedup-nodes")
         alike = shingles.similar_pairs(nodes, rows.select(F.col("row").alias("node"), own_text.alias("text")), similarity, shingle)
         of = nodes.select("node", "fp")

@@ -235,7 +235,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             for at in range(0, batch.num_rows, 512):
                 texts = batch.column(place).slice(at, 512).to_pylist()
                 made.append(fitted.score(np.array([features(t) for t in texts], np.float32)))
-                del texts
             values = np.concatenate(made) if made else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, out_col])
         _SEEN.clear()

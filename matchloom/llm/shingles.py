@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import arrow_rows, discard, materialize
 from .simhash import _LOWER, connected_components
 
 #: Bits of a parity signature, in longs.
@@ -84,9 +84,14 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, seen: np
     return shingles[np.argsort(often, kind="stable")[:size]]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles in each of the bits, as longs."""
+def signature(shingles: np.ndarray, least_bits: int = 0) -> np.ndarray:
+    """Parity of the number of shingles in each of the bits, as longs; ``least_bits`` are doubled up to.
+
+    The exclusive or of a signature's halves is the signature of half as many bits.
+    """
     bits = 64 * SIGNATURE_LONGS
+    while bits < least_bits:
+        bits *= 2
     odd = np.bincount((shingles.view(np.uint64) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -125,6 +130,19 @@ def often_seen(
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which two signatures differ, the longer one folded to the shorter."""
+    def xor(a: Column, b: Column) -> Column:
+        return F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))
+
+    def half(a: Column) -> Column:
+        size = F.shiftright(F.size(a), 1)
+        return xor(F.slice(a, F.lit(1), size), F.slice(a, size + 1, size))
+
+    both = F.when(F.size(x) > F.size(y), xor(half(x), y)).when(F.size(x) < F.size(y), xor(x, half(y))).otherwise(xor(x, y))
+    return F.aggregate(both, F.lit(0), lambda total, p: total + F.bit_count(p))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int, broadcast_nodes: int) -> DataFrame:
     """The pairs (a, b) whose texts, by (node, text), reach the similarity.
 
@@ -149,7 +167,8 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int,
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-    out = materialize(found, "shingle-links")
+    with arrow_rows(pairs.sparkSession, 100):
+        out = materialize(found, "shingle-links")
     discard(held)
     discard(needed)
     return out
@@ -172,11 +191,11 @@ def similar_pairs(
     nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 2,
     broadcast_nodes: int = 1_000_000,
 ) -> DataFrame:
-    """Links (a, b) between nodes of ``nodes`` (node, n, keys, sign) with texts in ``texts`` (node, text).
+    """Links (a, b) between nodes of ``nodes`` (node, n, keys, sign, fine) with texts in ``texts`` (node, text).
 
     Every pair of the similarity is linked directly or through other links.
-    ``n`` is the size of the shingle set, ``keys`` its prefix and ``sign`` its
-    signature.
+    ``n`` is the size of the shingle set, ``keys`` its prefix, ``sign`` and
+    ``fine`` its signatures.
     """
     keyed = nodes.select("node", F.posexplode("keys").alias("place", "key"))
     # one exchange of the prefixes; nearly all shingles are seen once and end here
@@ -192,7 +211,12 @@ def similar_pairs(
 
     def verified(pairs: DataFrame) -> DataFrame:
         distinct = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        distinct = materialize(distinct, "shingle-pairs")
+        # signatures that grow with the text, for pairs that are left
+        for side in ("a", "b"):
+            distinct = distinct.join(nodes.select(F.col("node").alias(side), F.struct("n", "fine").alias(f"of_{side}")), side)
+        distinct = distinct.where(
+            _differ(F.col("of_a.fine"), F.col("of_b.fine")) <= (1 - similarity) / (1 + similarity) * (F.col("of_a.n") + F.col("of_b.n")) + 1e-6)
+        distinct = materialize(distinct.select("a", "b"), "shingle-pairs")
         out = similar(distinct, texts, similarity, shingle, broadcast_nodes)
         discard(distinct)
         return out if links is None else links.union(out)
