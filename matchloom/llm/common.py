@@ -56,6 +56,17 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(name, before)
 
 
+def small_batches(spark: SparkSession, most: int = 500) -> None:
+    """From now on Arrow batches of the session hold ``most`` rows at most.
+
+    For jobs of several Python stages: a worker keeps what its largest batch
+    took, and stages that run one after the other share their workers.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     path = getattr(df, "_matchloom_path", None)
