@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import dedup, langid, packing, quality, secrets
-from matchloom.llm.common import materialize, table
+from matchloom.llm.common import materialize, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a known language; their ``lang`` stays as it was."""
+    small_batches(spark)
     judged = langid.identify(docs.select(*COLUMNS), langid.fit(docs))
     return judged.where(~F.col("rejected")).select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are more likely good than the rejection threshold."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     judged = quality.score(docs.select(*COLUMNS), model, out_col="_ml_score")
     return judged.where(F.col("_ml_score") >= 0.3).select(*COLUMNS)
@@ -30,6 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
     """Keep one row of each group of near-duplicates: that of the smallest id."""
+    small_batches(spark)
     return dedup.keep_one(docs.select(*COLUMNS), similarity)
 
 
@@ -46,6 +49,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed token sequences, with their ids."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 
