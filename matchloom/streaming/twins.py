@@ -25,7 +25,8 @@ def run_available(stream: DataFrame, mode: str, out: str | None = None, checkpoi
 
     Appends go to a file sink; complete results replace those of the batch
     before, under the number of the batch, so that a repeated batch overwrites
-    only itself.
+    only itself.  A run that finds nothing new returns what the one before left,
+    and the first one an empty table.
     """
     spark = stream.sparkSession
     out, checkpoint = out or shared_path(spark, "stream"), checkpoint or shared_path(spark, "stream-state")
@@ -33,14 +34,24 @@ def run_available(stream: DataFrame, mode: str, out: str | None = None, checkpoi
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
         return out
-    last = []
 
     def store(batch: DataFrame, number: int) -> None:
-        last.append(f"{out}/batch={number}")
-        batch.write.mode("overwrite").parquet(last[-1])
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer.foreachBatch(store).start().awaitTermination()
-    return last[-1]
+    number = _last_batch(spark, out)
+    if number is None:  # nothing has come yet
+        number = -1
+        store(spark.createDataFrame([], stream.schema), number)
+    return f"{out}/batch={number}"
+
+
+def _last_batch(spark: SparkSession, out: str) -> int | None:
+    """The greatest number of a stored batch, of this run or one before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
 
 
 def outcome_counts(events: DataFrame) -> DataFrame:
