@@ -14,8 +14,8 @@ the elements that only one set has.  Candidates are verified on whole texts.
 
 Texts that share a shingle are first compared with one of them, the one that
 shares most of its prefix with others, which links groups of copies to the
-text they were made from; then with another one; then all candidate pairs that
-are not linked yet.  Nothing is capped.
+text they were made from; then, after more such rounds where asked for, all
+candidate pairs that are not linked yet.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def _bounds(similarity: float, x: str, y: str) -> Column:
 
 
 def similar_pairs(
-    nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 2,
+    nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 1,
     broadcast_nodes: int = 1_000_000,
 ) -> DataFrame:
     """Links (a, b) between nodes of ``nodes`` (node, n, keys, sign, fine) with texts in ``texts`` (node, text).
