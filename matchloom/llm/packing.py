@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import batches_of, tokenizer
+from .tokens import CACHE_PIECES, batches_of, tokenizer
 
 SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
@@ -143,6 +143,7 @@ def default_tokenizer_path() -> str:
 def pack_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
     end_id: int = 1, window: int = 2048, tiers: int = 4, step_tokens: int = 16384, plain_specials: bool = False,
+    cache_pieces: int = CACHE_PIECES,
 ) -> DataFrame:
     """One row per piece; ``ids`` are little-endian unsigned 32-bit integers.
 
@@ -156,7 +157,7 @@ def pack_documents(
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 36
-        encoder, packer, sequence = tokenizer(path, False, plain_specials), Packer(window, tiers, step_tokens), base
+        encoder, packer, sequence = tokenizer(path, False, plain_specials, cache_pieces), Packer(window, tiers, step_tokens), base
         end = np.array([end_id], np.uint32)
 
         def out() -> pa.RecordBatch:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces whose ids a worker keeps; the store is emptied when full.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 600_000
 LONGEST_CACHED = 20
 _ROW = 5000
 #: White space other than space and line break.
@@ -37,14 +37,14 @@ class PieceTokenizer:
     a line break came before it, whose id is dropped at the end.
     """
 
-    def __init__(self, path: str, spaces: bool, plain_specials: bool = False):
+    def __init__(self, path: str, spaces: bool, plain_specials: bool = False, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = plain_specials
         self._added = [] if plain_specials else [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._spaces = spaces
+        self._spaces, self._most = spaces, cache_pieces
         self._mark = "\n" if spaces else " \x01 "
         (self._mark_id,) = self._ids([self._mark])[0]
         self._seen: dict[str, bytes] = {}
@@ -115,7 +115,7 @@ class PieceTokenizer:
         new = [i for i, r in enumerate(raws) if r is None]
         if new:
             found = self._learn([pieces[i] for i in new])
-            if len(self._seen) + len(new) > CACHE_PIECES:
+            if len(self._seen) + len(new) > self._most:
                 self._seen.clear()
             for i in new:
                 raws[i] = found[pieces[i]]
@@ -124,11 +124,11 @@ class PieceTokenizer:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str, spaces: bool, plain_specials: bool = False) -> PieceTokenizer:
-    return PieceTokenizer(path, spaces, plain_specials)
+def tokenizer(path: str, spaces: bool, plain_specials: bool = False, cache_pieces: int = CACHE_PIECES) -> PieceTokenizer:
+    return PieceTokenizer(path, spaces, plain_specials, cache_pieces)
 
 
-def batches_of(texts: list, most_chars: int = 4_000_000):
+def batches_of(texts: list, most_chars: int = 8_000_000):
     """Slices of a list of texts that hold about ``most_chars`` at most."""
     yield from _slices([len(t) if t else 0 for t in texts], most_chars)
 
