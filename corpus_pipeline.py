@@ -50,7 +50,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed token sequences, with their ids."""
     small_batches(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache_pieces=200_000)
 
 
 STAGES = [
