@@ -174,12 +174,14 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int,
     return out
 
 
-def _bounds(similarity: float, x: str, y: str) -> Column:
-    """Whether two members of a shingle can reach the similarity."""
+def _bounds(similarity: float, x: str, y: str, signed: bool) -> Column:
+    """Whether two members of a shingle can reach the similarity, by their signatures too where they have them."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     least = similarity / (1 + similarity) * (n + m) - 1e-6  # of elements in common
     sizes = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
     places = F.least(n - F.col(f"{x}.place"), m - F.col(f"{y}.place")) >= least
+    if not signed:
+        return sizes & places
     differ = sum(
         (F.bit_count(F.get(f"{x}.sign", F.lit(i)).bitwiseXOR(F.get(f"{y}.sign", F.lit(i)))) for i in range(SIGNATURE_LONGS)),
         F.lit(0),
@@ -197,16 +199,15 @@ def similar_pairs(
     ``n`` is the size of the shingle set, ``keys`` its prefix, ``sign`` and
     ``fine`` its signatures.
     """
-    keyed = nodes.select("node", F.posexplode("keys").alias("place", "key"))
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     # one exchange of the prefixes; nearly all shingles are seen once and end here
     shared = keyed.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
     shared = materialize(shared, "shingle-shared")
-    weight = shared.groupBy("node").agg(F.sum(F.log2("count")).alias("weight"))
-    about = nodes.select("node", "n", "sign", F.size("keys").alias("size")).join(weight, "node")
-    about = about.select("node", "n", "sign", (F.col("weight") / F.col("size")).alias("weight"))
-    members = materialize(shared.drop("count").join(about, "node").withColumn("root", F.col("node")), "shingle-members")
+    weight = shared.groupBy("node").agg((F.sum(F.log2("count")) / (1 + F.floor((1 - similarity) * F.first("n")))).alias("weight"))
+    # members stay narrow: their signatures are fetched where pairs are few, or by the last round
+    members = materialize(shared.drop("count").join(weight, "node").withColumn("root", F.col("node")), "shingle-members")
     discard(shared)
-    whole = F.struct("node", "n", "place", "sign", "root")
+    whole = F.struct("node", "n", "place", "root")
     links = None
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -231,16 +232,21 @@ def similar_pairs(
             discard(rooted)
             discard(members)
             members = left
-        x = members.select("key", whole.alias("x"))
         if number < star_rounds:
             # at first what shares most, then chosen by hash among those
             order = F.struct(-F.round("weight", 3 if number == 0 else 0), F.xxhash64(F.lit(number), "node"), "node")
+            x = members.select("key", whole.alias("x"))
             y = members.groupBy("key").agg(F.min_by(whole, order).alias("y"))
             other = F.col("x.root") != F.col("y.root")
         else:
-            y = members.select("key", whole.alias("y"))
+            signed = members.select("key", "node", "n", "place", "root").join(nodes.select("node", "sign"), "node")
+            signed = materialize(signed, "shingle-signed")
+            discard(members)
+            members = signed
+            whole = F.struct("node", "n", "place", "sign", "root")
+            x, y = (members.select("key", whole.alias(side)) for side in ("x", "y"))
             other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-        on = (F.col("l.key") == F.col("r.key")) & other & _bounds(similarity, "x", "y")
+        on = (F.col("l.key") == F.col("r.key")) & other & _bounds(similarity, "x", "y", number == star_rounds)
         pairs = x.alias("l").join(y.alias("r"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         links = verified(pairs)
     discard(members)
