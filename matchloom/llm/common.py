@@ -40,24 +40,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # its exchanges are files that nothing reads again once the table is whole
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._matchloom_path = path
     return out
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, most: int):
-    """Within, Arrow batches hold ``most`` rows: for rows that can be very large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str):
+    """Within, a setting of the session has this value."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(most))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, most: int):
+    """Within, Arrow batches hold ``most`` rows: for rows that can be very large."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
 def small_batches(spark: SparkSession, most: int = 500) -> None:
     """From now on Arrow batches of the session hold ``most`` rows at most.
 

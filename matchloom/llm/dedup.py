@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from . import shingles, simhash
-from .common import map_beside, materialize
+from .common import discard, map_beside, materialize
 
 
 def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingle: int) -> DataFrame:
@@ -77,7 +77,11 @@ def keep_one(
         same = shapes.join(nodes.select("shape", F.col("fp").alias("b")), "shape").select("a", "b")
         links = links.union(alike).union(same).where("a <> b").distinct()
     roots = materialize(simhash.connected_components(links), "dedup-roots")
+    if similarity:
+        discard(nodes)
     grouped = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     winners = materialize(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "dedup-kept")
+    discard(roots)
+    discard(firsts)
     kept = rows.join(winners, "row", "left_semi").select([f"c{i}" for i in range(len(docs.columns))])
     return kept.toDF(*docs.columns)
