@@ -83,5 +83,8 @@ def keep_one(
     winners = materialize(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "dedup-kept")
     discard(roots)
     discard(firsts)
-    kept = rows.join(winners, "row", "left_semi").select([f"c{i}" for i in range(len(docs.columns))])
+    # those that go are the fewer: while Spark finds their numbers small, texts are not exchanged
+    gone = materialize(rows.select("row").join(winners, "row", "left_anti"), "dedup-gone")
+    discard(winners)
+    kept = rows.join(gone, "row", "left_anti").select([f"c{i}" for i in range(len(docs.columns))])
     return kept.toDF(*docs.columns)
