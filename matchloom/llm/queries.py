@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_tokens, bpe, langid, native_queries, packing, quality, simhash, tiff
+from . import arrow_tokens, best_fit, bpe, centroids, langid, native_queries, packing, quality, simhash, spelling, tiff
 from .common import crc32_text, table
 
 
@@ -84,5 +84,8 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_arrow_tokens": op9_arrow_tokens,
+    **centroids.QUERIES,
+    **best_fit.QUERIES,
+    **spelling.QUERIES,
 }
-ORACLE_SQL = dict(native_queries.ORACLE_SQL)
+ORACLE_SQL = native_queries.ORACLE_SQL | centroids.ORACLE_SQL | spelling.ORACLE_SQL
