@@ -17,7 +17,8 @@ def _of_active(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return facts.join(entities.where("is_active").select("entity_id"), "entity_id", "left_semi")
 
 
-def _outcomes() -> list:
+def outcomes() -> list:
+    """Matches, wins, losses and draws of a group; sums of parts are those of the whole."""
     return [
         F.count("*").alias("matches"),
         F.count_if(F.col("result") == "victory").alias("wins"),
@@ -29,7 +30,7 @@ def _outcomes() -> list:
 def mode_aggregate(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """By entity, mode and version; matches without a mode are left out."""
     stats = _of_active(facts.where("mode IS NOT NULL"), entities).groupBy("entity_id", "mode", "version").agg(
-        *_outcomes(), F.max("occurred_at").alias("latest")
+        *outcomes(), F.max("occurred_at").alias("latest")
     )
     return stats.withColumn("win_rate", scalars.win_rate(F.col("wins"), F.col("losses")))
 
@@ -37,7 +38,7 @@ def mode_aggregate(facts: DataFrame, entities: DataFrame) -> DataFrame:
 def overall_aggregate(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """By entity and version, matches without a mode included."""
     stats = _of_active(facts, entities).groupBy("entity_id", "version").agg(
-        *_outcomes(), F.count_distinct("mode").alias("mode_coverage"), F.max("occurred_at").alias("latest")
+        *outcomes(), F.count_distinct("mode").alias("mode_coverage"), F.max("occurred_at").alias("latest")
     )
     return stats.withColumn("win_rate", scalars.win_rate(F.col("wins"), F.col("losses")))
 
@@ -58,7 +59,7 @@ def matchup_aggregate(participations: DataFrame, matches: DataFrame, teams: Data
     )
     theirs = sided.select("match_id", F.col("team_id").alias("other_team"), F.col("entity_id").alias("opponent_id"))
     pairs = ours.join(theirs, "match_id").where("team_id <> other_team AND entity_id <> opponent_id")
-    stats = pairs.groupBy("entity_id", "opponent_id", "mode", "version").agg(*_outcomes()[:3])
+    stats = pairs.groupBy("entity_id", "opponent_id", "mode", "version").agg(*outcomes()[:3])
     return stats.withColumn("win_rate", scalars.win_rate(F.col("wins"), F.col("losses")))
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import twins
+from ..sources.shared import shared_path
+from ..streaming import slices, twins
 from .base import query
+from .statistics import rate, rounded
 
 
 def _events(v):
@@ -17,9 +19,26 @@ def x1(v):
     return v.spark.read.parquet(twins.run_available(twins.outcome_counts(_events(v)), "complete"))
 
 
+def _landed_in_files(v, rows, files: int = 6) -> str:
+    """The rows as files of a new folder, to be taken up in slices."""
+    path = shared_path(v.spark, "landed")
+    rows.repartition(files).write.parquet(path)
+    return path
+
+
+@query("x1_mode_stats_by_slices", f"SELECT entity_id, mode, version, matches, wins, losses, draws, latest, {rate()} AS win_rate FROM mode_stats")
+def x1_slices(v):
+    path = _landed_in_files(v, v.participations.select("match_id", "entity_id", "team_id"))
+    stream = v.spark.readStream.schema(v.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
+    kept = slices.ModeStatistics(v.spark, shared_path(v.spark, "mode-stats"), lambda: v.matches, lambda: v.teams, merge_every=2)
+    kept.run(stream)
+    return rounded(kept.read(v.entities), "win_rate")
+
+
 @query("x2_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def x2(v):
-    return v.spark.read.parquet(twins.run_available(twins.dedup(_events(v), ["user_id", "event_type"]), "append"))
+    stream = twins.dedup(_events(v), ["user_id", "event_type"])
+    return twins.results(v.spark, stream.schema, twins.run_available(stream, "append"))
 
 
 @query("x5_stream_rate_windows", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type AS scope, count(*) AS used FROM events GROUP BY 1, 2")
@@ -32,3 +51,11 @@ def x5(v):
 def x7(v):
     rows = v.spark.read.parquet(twins.run_available(twins.hourly_counts(_events(v)), "complete"))
     return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("x7_stream_closed_hours", """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+def x7_closed(v):
+    stream = twins.hourly_counts(_events(v), "2 hours")
+    rows = twins.results(v.spark, stream.schema, twins.run_available(stream, "append"))
+    return rows.withColumn("hour", F.col("hour").cast("timestamp_ntz"))

@@ -26,7 +26,8 @@ def run_available(stream: DataFrame, mode: str, out: str | None = None, checkpoi
     Appends go to a file sink; complete results replace those of the batch
     before, under the number of the batch, so that a repeated batch overwrites
     only itself.  A run that finds nothing new returns what the one before left,
-    and the first one an empty table.
+    and the first one an empty table; read appends with ``results``, as a sink
+    that got no rows has no file.
     """
     spark = stream.sparkSession
     out, checkpoint = out or shared_path(spark, "stream"), checkpoint or shared_path(spark, "stream-state")
@@ -46,6 +47,15 @@ def run_available(stream: DataFrame, mode: str, out: str | None = None, checkpoi
     return f"{out}/batch={number}"
 
 
+def results(spark: SparkSession, schema, out: str) -> DataFrame:
+    """What an append sink holds, with the stream's schema: no rows where nothing has come yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
 def _last_batch(spark: SparkSession, out: str) -> int | None:
     """The greatest number of a stored batch, of this run or one before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out)
@@ -60,6 +70,11 @@ def outcome_counts(events: DataFrame) -> DataFrame:
 
 
 def hourly_counts(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Counts by hour and kind.
+
+    With ``late``, for append mode: an hour comes once and for good when the
+    newest event is ``late`` beyond its end, and its state is dropped then.
+    """
     timed = events.withColumn("at", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("at", late) if late else timed
     return timed.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(
