@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .ordered import shares_at_or_below
 
 
 @dataclass(frozen=True)
@@ -92,16 +93,22 @@ def strata_coverage(capped: DataFrame, as_of: Column, recent_days: float = 30) -
 
 def pick_rates(rows: DataFrame, scope: list[str]) -> DataFrame:
     """Share of its scope's matches, over all rows of the scope."""
-    total = F.sum("matches").over(Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(1)))
-    return rows.withColumn("pick_rate", F.try_divide(F.col("matches").cast("double"), F.nullif(total, F.lit(0))))
+    totals = rows.groupBy(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)]).agg(F.sum("matches").alias("_total"))
+    on = F.lit(True)
+    for i, c in enumerate(scope):
+        on &= F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    # one row without a scope
+    both = rows.join(totals, on) if scope else rows.crossJoin(F.broadcast(totals))
+    share = F.try_divide(F.col("matches").cast("double"), F.nullif(F.col("_total"), F.lit(0)))
+    return both.select(*rows.columns, share.alias("pick_rate"))
 
 
 def percentile_tiers(rows: DataFrame, score: str, scope: list[str] | None = None) -> DataFrame:
     """Tiers by the share of scores at or below; equal scores share a tier."""
-    w = Window.partitionBy(*(scope or [F.lit(1)])).orderBy(score)
     # the quotient first, then times 100, as the cutoffs are compared in this form
-    percentile = F.cume_dist().over(w) * 100
-    return rows.withColumn("percentile", percentile).withColumn("tier", scalars.tier(F.col("percentile")))
+    percentile = F.col("_share") * 100
+    shared = shares_at_or_below(rows, score, scope or [], "_share")
+    return shared.withColumn("percentile", percentile).withColumn("tier", scalars.tier(F.col("percentile"))).drop("_share")
 
 
 def matchup_candidates(pooled: DataFrame) -> DataFrame:

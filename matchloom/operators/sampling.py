@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import budgets
 
 #: A scope's window in seconds, its ceiling, and what of it is kept for priority work.
 BUDGETS = (
@@ -75,19 +76,21 @@ def refresh_merge(rows: DataFrame, key: str, columns: list[str], order: list[str
 
 
 def rate_budget(requests: DataFrame, window_s: int, ceiling: int, reserve: int, order: list[str]) -> DataFrame:
-    """Grant requests within fixed windows of time; only priority work may use the reserve.
+    """Grant requests (scope, at, priority) within fixed windows of time, numbered by ``slot``.
 
-    A window's requests are numbered in their order: plain ones among plain
-    ones, priority ones behind all that plain ones may take.
+    ``budgets.in_windows`` has windows that begin at a scope's first request.
     """
     slot = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / window_s)
-    w = Window.partitionBy("scope", "slot").orderBy(*order)
-    plain = F.sum(F.when(F.col("priority"), 0).otherwise(1)).over(w)
-    urgent = F.sum(F.when(F.col("priority"), 1).otherwise(0)).over(w)
-    usable = ceiling - reserve
-    used = F.least(plain, F.lit(usable)) + urgent
-    granted = F.when(F.col("priority"), used <= ceiling).otherwise((plain <= usable) & (used <= ceiling))
-    return requests.withColumn("slot", slot).withColumn("granted", granted)
+    return budgets.grant(requests.withColumn("slot", slot), ["scope", "slot"], order, ceiling, reserve)
+
+
+def budget_use(seeds: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each budget with the requests of its scope and the most of them within one of its windows."""
+    limits = F.broadcast(seeds.select("scope", "window_s"))  # a row a scope
+    slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (F.col("window_s").cast("long") * 1_000_000))
+    used = requests.join(limits, "scope").groupBy("scope", slot.alias("slot")).agg(F.count("*").alias("n"))
+    sums = used.groupBy("scope").agg(F.max("n").alias("busiest"), F.sum("n").alias("requests"))
+    return seeds.join(sums, "scope", "left").fillna(0, ["busiest", "requests"])
 
 
 def seed_schedule(current: DataFrame, seeds: DataFrame) -> DataFrame:

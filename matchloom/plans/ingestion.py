@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import catalog, ingest, sampling
+from ..operators import budgets, catalog, ingest, sampling
 from ..sources.views import AS_OF, Views
 from .base import query
 
@@ -543,16 +543,56 @@ def c11(v):
     return sampling.refresh_merge(upserts(v), "player", ["region", "level"], ["seq"])
 
 
-@query("c13_rate_budget", """SELECT id, scope, slot, CASE WHEN priority THEN used <= 6 ELSE plain <= 4 AND used <= 6 END AS granted FROM (
-  SELECT *, least(plain, 4) + urgent AS used FROM (SELECT *, CAST(sum(CASE WHEN priority THEN 0 ELSE 1 END) OVER w AS BIGINT) AS plain, CAST(sum(CASE WHEN priority THEN 1 ELSE 0 END) OVER w AS BIGINT) AS urgent
-  FROM (SELECT event_id AS id, event_type AS scope, user_id % 5 = 0 AS priority, ts, CAST(floor(floor(epoch(ts)) / 3600) AS BIGINT) AS slot FROM events)
-  WINDOW w AS (PARTITION BY scope, slot ORDER BY ts, id)))""")
+#: A row at a time, as the counter of a scope would: the state is what has been used.
+GRANTED = "place <= 4 OR (priority AND urgent - common <= 2)"
+PLACED = """SELECT *, coalesce(max(urgent) FILTER (WHERE place <= 4) OVER (PARTITION BY scope, {slot}), 0) AS common FROM (
+  SELECT *, row_number() OVER w AS place, sum(CASE WHEN priority THEN 1 ELSE 0 END) OVER w AS urgent FROM ({rows})
+  WINDOW w AS (PARTITION BY scope, {slot} ORDER BY ts, id))"""
+REQUESTS = ("event_id AS id", "event_type AS scope", "user_id % 5 = 0 AS priority")
+
+
+@query("c13_rate_budget", f"""SELECT id, scope, slot, {GRANTED} AS granted FROM ({PLACED.format(
+    slot="slot", rows=f"SELECT {', '.join(REQUESTS)}, ts, CAST(floor(floor(epoch(ts)) / 3600) AS BIGINT) AS slot FROM events")})""")
 def c13(v):
-    rows = v.table("events").selectExpr("event_id AS id", "event_type AS scope", "user_id % 5 = 0 AS priority", "ts AS at")
+    rows = v.table("events").selectExpr(*REQUESTS, "ts AS at")
     return sampling.rate_budget(rows, 3600, 6, 2, ["at", "id"]).select("id", "scope", "slot", "granted")
 
 
-@query("s22_budget_seeds", """SELECT * FROM (VALUES ('global', 86400, 5000, 200), ('catalog', 86400, 50, 0), ('rankings', 86400, 300, 0),
-  ('profile', 3600, 500, 0), ('log', 3600, 1000, 0), ('club', 86400, 200, 0)) t(scope, window_s, ceiling, reserve)""")
+#: Each step looks for the first request behind the end of a window.
+ANCHORED = """RECURSIVE requests AS MATERIALIZED (SELECT DISTINCT event_type AS scope, epoch_us(ts) // 1000 AS ms FROM events),
+follows AS MATERIALIZED (SELECT a.scope, a.ms, b.ms AS begun FROM requests a ASOF LEFT JOIN requests b ON a.scope = b.scope AND a.ms + 21600000 <= b.ms),
+windows AS (SELECT scope, min(ms) AS begun FROM requests GROUP BY 1
+  UNION ALL SELECT w.scope, f.begun FROM windows w JOIN follows f ON w.scope = f.scope AND w.begun = f.ms WHERE f.begun IS NOT NULL)"""
+
+
+@query("x5_anchored_windows", f"""WITH {ANCHORED} SELECT w.scope, w.begun AS window_start, count(*) AS used FROM events e
+ASOF JOIN windows w ON e.event_type = w.scope AND epoch_us(e.ts) // 1000 >= w.begun GROUP BY 1, 2""")
+def x5_anchored(v):
+    rows = v.table("events").selectExpr("event_type AS scope", "ts AS at")
+    return budgets.in_windows(rows, 21600).groupBy("scope", "window_start").agg(F.count("*").alias("used"))
+
+
+IN_WINDOWS = f"""SELECT {', '.join(REQUESTS)}, ts, w.begun FROM events e
+  ASOF JOIN windows w ON e.event_type = w.scope AND epoch_us(e.ts) // 1000 >= w.begun"""
+
+
+@query("c13_anchored_budget", f"""WITH {ANCHORED}, placed AS ({PLACED.format(slot="begun", rows=IN_WINDOWS)})
+SELECT id, scope, begun AS window_start, {GRANTED} AS granted FROM placed""")
+def c13_anchored(v):
+    rows = budgets.in_windows(v.table("events").selectExpr(*REQUESTS, "ts AS at"), 21600)
+    return budgets.grant(rows, ["scope", "window_start"], ["at", "id"], 6, 2).select("id", "scope", "window_start", "granted")
+
+
+#: Budgets beside the requests that they govern: an event's kind stands for a scope.
+SCOPE_OF = {"click": "log", "view": "profile", "purchase": "catalog", "signup": "club", "error": "global"}
+SCOPE_SQL = f"CASE event_type {' '.join(f"WHEN '{k}' THEN '{s}'" for k, s in SCOPE_OF.items())} END"
+
+
+@query("s22_budget_seeds", f"""SELECT scope, window_s, ceiling, reserve, coalesce(max(n), 0) AS busiest, CAST(coalesce(sum(n), 0) AS BIGINT) AS requests
+FROM (VALUES ('global', 86400, 5000, 200), ('catalog', 86400, 50, 0), ('rankings', 86400, 300, 0),
+  ('profile', 3600, 500, 0), ('log', 3600, 1000, 0), ('club', 86400, 200, 0)) t(scope, window_s, ceiling, reserve)
+LEFT JOIN (SELECT {SCOPE_SQL} AS s, w, floor(epoch(ts) / w) AS slot, count(*) AS n FROM events, (VALUES (3600), (86400)) x(w) GROUP BY ALL)
+  ON s = scope AND w = window_s GROUP BY 1, 2, 3, 4""")
 def s22(v):
-    return v.spark.createDataFrame(sampling.BUDGETS, "scope string, window_s int, ceiling int, reserve int")
+    seeds = v.spark.createDataFrame(sampling.BUDGETS, "scope string, window_s int, ceiling int, reserve int")
+    return sampling.budget_use(seeds, v.table("events").selectExpr(f"{SCOPE_SQL} AS scope", "ts AS at"))
