@@ -119,10 +119,10 @@ def with_match_key(matches: DataFrame) -> DataFrame:
 
 def first_observations(matches: DataFrame, order: list[str], key: str = "match_key") -> DataFrame:
     """The first observation of each match; later ones only count."""
-    w = Window.partitionBy(key).orderBy(*order)
-    seen = matches.withColumn("_n", F.row_number().over(w)).withColumn(
-        "observations", F.count("*").over(Window.partitionBy(key)))
-    return seen.where("_n = 1").drop("_n")
+    rest = [c for c in matches.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    seen = matches.groupBy(key).agg(first, F.count("*").alias("observations"))
+    return seen.select(*[key if c == key else F.col(f"_first.`{c}`").alias(c) for c in matches.columns], "observations")
 
 
 def participations(matches: DataFrame) -> DataFrame:

@@ -5,30 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import digests
+
 
 def page(rows: DataFrame, order: list[str], after: Column | None, upto: Column | None, size: int) -> DataFrame:
     """Rows behind a composite cursor, up to a fixed watermark."""
-    key = F.struct(*order)
+    key, first = F.struct(*order), F.col(order[0])
+    # the first column alone as well: a plain comparison reaches the scan, a struct's does not
     if after is not None:
-        rows = rows.where(key > after)
+        rows = rows.where((key > after) & (first >= after.getField("col1")))
     if upto is not None:
-        rows = rows.where(key <= upto)
+        rows = rows.where((key <= upto) & (first <= upto.getField("col1")))
     return rows.orderBy(*order).limit(size)
 
 
 def key_difference(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """One row: keys on one side only, with up to ten samples of each.
 
-    Samples are a top-k, not a collected group.
+    Keys meet once; samples are a top-k of what differs, not a collected group.
     """
-    left = source.select(key).join(target.select(key), key, "left_anti")
-    right = target.select(key).join(source.select(key), key, "left_anti")
+    s, t = source.select(F.col(key).alias("_s")), target.select(F.col(key).alias("_t"))
+    differ = s.join(t, F.col("_s") == F.col("_t"), "full_outer").where("_s IS NULL OR _t IS NULL").where("NOT (_s IS NULL AND _t IS NULL)")
+    side, least = F.when(F.col("_t").isNull(), "source").otherwise("target"), F.coalesce("_s", "_t")
+    numbered = differ.select(side.alias("_side"), least.alias("_key"))
+    place = F.row_number().over(Window.partitionBy("_side").orderBy("_key"))
+    counts = numbered.groupBy("_side").agg(F.count("*").alias("_n"))
+    first = numbered.withColumn("_place", place).where("_place <= 10").groupBy("_side").agg(F.array_sort(F.collect_list("_key")).alias("_keys"))
+    both = counts.join(first, "_side")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        sample = df.orderBy(key).limit(10).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias(f"{name}_sample"))
-        return df.agg(F.count("*").alias(f"{name}_only")).crossJoin(sample)
+    def of(name: str) -> list[Column]:
+        here = F.col("_side") == name
+        sample = F.coalesce(F.array_join(F.max(F.when(here, F.col("_keys"))), ","), F.lit(""))
+        return [F.coalesce(F.max(F.when(here, F.col("_n"))), F.lit(0).cast("long")).alias(f"{name}_only"), sample.alias(f"{name}_sample")]
 
-    return side(left, "source").crossJoin(side(right, "target"))
+    return both.agg(*of("source"), *of("target"))
 
 
 def symmetric_difference(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -74,14 +84,8 @@ def hourly_reconcile(source: DataFrame, target: DataFrame, at: str, ident: str)
 
 
 def child_digests(children: DataFrame, parent: str, columns: list[str]) -> DataFrame:
-    """count:sha256 of each parent's ordered child rows.
-
-    Children of one parent are a bounded record here; for sets without bound
-    use the order-free digest of the archive manifest.
-    """
-    rows = F.array_sort(F.collect_list(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])))
-    return children.groupBy(parent).agg(rows.alias("_rows")).select(
-        parent, F.concat(F.size("_rows"), F.lit(":"), F.sha2(F.array_join("_rows", "\n"), 256)).alias("digest"))
+    """count:sha256 of each parent's ordered child rows; a tree of hashes where there are many."""
+    return digests.ordered_digests(children, parent, columns)
 
 
 def sync_lag(maxima: DataFrame, cursors: DataFrame) -> DataFrame:
