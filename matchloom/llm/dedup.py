@@ -1,9 +1,11 @@
 """One row of each group of near-duplicate texts.
 
-Texts are near-duplicates if their SimHash fingerprints differ in at most two
-bits or, where a similarity is given, if the Jaccard similarity of their word
-shingles reaches it; links are followed.  Groups are told apart by what the
-texts hold, never by id.
+Texts are near-duplicates if the Jaccard similarity of their word shingles
+reaches the one given, or, where none is given, if their SimHash fingerprints
+differ in at most two bits; links are followed.  With a similarity, fingerprints
+only propose: a pair is linked when its whole texts were compared, so texts of
+few different words, whose fingerprints are close by chance, stay.  Groups are
+told apart by what the texts hold, never by id.
 
 Edge cases: null and empty texts are one group; the row of the least id stays,
 a row without an id only if its group has no id, and of rows alike in both the
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
@@ -55,6 +57,27 @@ def _fingerprinted(docs: DataFrame, place: int, similarity: float | None, shingl
     return map_beside(plain, run, added).withColumn("row", F.monotonically_increasing_id())
 
 
+def _similar_nodes(rows: DataFrame, firsts: DataFrame, own_text: Column, similarity: float, shingle: int) -> DataFrame:
+    """Links (a, b) between nodes whose texts reach the similarity.
+
+    Near fingerprints are the first candidates: for each fingerprint one node
+    stands for all that have it, and the others are candidates with that one.
+    Like all candidates they are verified on whole texts.  What they miss, the
+    search by prefixes finds.
+    """
+    nodes = rows.where("n > 0").select(F.col("row").alias("node"), "fp", "n", "keys", "sign", "fine")
+    nodes = materialize(nodes.join(firsts.select("node"), "node", "left_semi"), "dedup-nodes")
+    one = materialize(nodes.groupBy("fp").agg(F.min("node").alias("one")), "dedup-one")
+    near = simhash.near_pairs(one.select("fp"))
+    near = near.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = nodes.select("node", "fp").join(one, "fp").where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b"))
+    texts = rows.select(F.col("row").alias("node"), own_text.alias("text"))
+    links = shingles.similar_pairs(nodes, texts, similarity, shingle, candidates=near.union(same))
+    discard(nodes)
+    discard(one)
+    return links
+
+
 def keep_one(
     docs: DataFrame, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5
 ) -> DataFrame:
@@ -63,23 +86,15 @@ def keep_one(
     rows = materialize(_fingerprinted(docs, place, similarity, shingle), "dedup-rows")
     own_id, own_text = F.col(f"c{at_id}"), F.col(f"c{place}")
     least = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.xxhash64(own_text).alias("hash"), "row")
-    firsts = materialize(rows.groupBy("fp").agg(F.min(least).alias("first")), "dedup-firsts")
-    links = simhash.near_pairs(firsts.select("fp"))
     if similarity:
-        # texts with the same shingles are one node; their fingerprints are linked to the node's
-        chosen = rows.where("n > 0").groupBy("shape").agg(F.min("row").alias("row")).select("row")
-        nodes = rows.select("row", "shape", "fp", "n", "keys", "sign", "fine").join(chosen, "row", "left_semi")
-        nodes = materialize(nodes.withColumnRenamed("row", "node"), "dedup-nodes")
-        alike = shingles.similar_pairs(nodes, rows.select(F.col("row").alias("node"), own_text.alias("text")), similarity, shingle)
-        of = nodes.select("node", "fp")
-        alike = alike.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        shapes = rows.where("n > 0").select("shape", F.col("fp").alias("a")).distinct()
-        same = shapes.join(nodes.select("shape", F.col("fp").alias("b")), "shape").select("a", "b")
-        links = links.union(alike).union(same).where("a <> b").distinct()
+        # texts with the same shingles are one node
+        firsts = materialize(rows.groupBy("shape").agg(F.min(least).alias("first"), F.min("row").alias("node")), "dedup-firsts")
+        links = _similar_nodes(rows, firsts, own_text, similarity, shingle)
+    else:
+        firsts = materialize(rows.groupBy(F.col("fp").alias("node")).agg(F.min(least).alias("first")), "dedup-firsts")
+        links = simhash.near_pairs(firsts.select(F.col("node").alias("fp")))
     roots = materialize(simhash.connected_components(links), "dedup-roots")
-    if similarity:
-        discard(nodes)
-    grouped = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    grouped = firsts.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     winners = materialize(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.row"), "dedup-kept")
     discard(roots)
     discard(firsts)

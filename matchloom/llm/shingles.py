@@ -191,10 +191,12 @@ def _bounds(similarity: float, x: str, y: str, signed: bool) -> Column:
 
 def similar_pairs(
     nodes: DataFrame, texts: DataFrame, similarity: float = 0.8, shingle: int = 5, star_rounds: int = 1,
-    broadcast_nodes: int = 1_000_000,
+    broadcast_nodes: int = 1_000_000, candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Links (a, b) between nodes of ``nodes`` (node, n, keys, sign, fine) with texts in ``texts`` (node, text).
 
+    ``candidates`` (a, b) of another search are verified with the first round.
+
     Every pair of the similarity is linked directly or through other links.
     ``n`` is the size of the shingle set, ``keys`` its prefix, ``sign`` and
     ``fine`` its signatures.
@@ -248,6 +250,8 @@ def similar_pairs(
             other = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
         on = (F.col("l.key") == F.col("r.key")) & other & _bounds(similarity, "x", "y", number == star_rounds)
         pairs = x.alias("l").join(y.alias("r"), on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        if number == 0 and candidates is not None:
+            pairs = pairs.union(candidates.select("a", "b"))
         links = verified(pairs)
     discard(members)
     return links

@@ -101,3 +101,22 @@ def test_ids_do_not_make_copies(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     kept = sorted(((r.doc_id or 0), r.text) for r in dict(cp.STAGES)["SimHash near-dedup"](spark, docs, sf_dir).collect())
     assert kept == [(0, "a third text without any id"), (1, one), (1, two)]
+
+
+def test_texts_of_few_words_are_not_taken_for_copies(spark):
+    """Fingerprints of such texts are close by chance; nothing goes that is not similar."""
+    import random
+
+    from matchloom.llm import dedup, shingles, simhash
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(120))) for i in range(300)]
+    sets = [set(shingles.shingle_set(t).tolist()) for _, t in rows]
+    alike = {(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    fps = [simhash.simhash64(t) for _, t in rows]
+    assert not alike and sum((fps[i] ^ fps[j]).bit_count() <= 2 for i in range(300) for j in range(i)) > 5
+    # one text many times, one with a word changed, and one of a changed word per hundred
+    base = rows[7][1].split()
+    rows += [(500 + i, rows[7][1]) for i in range(5)] + [(600, " ".join([*base[:60], "four", *base[61:]]))]
+    kept = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 0.8)
+    assert {r.doc_id for r in kept.collect()} == set(range(300))
