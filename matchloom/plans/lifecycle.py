@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import aggregate, archive, catalog, ingest, monitor, ranking, reports, retention, sampling, sync
+from ..sources import pages
 from ..sources.shared import shared_path
 from ..sources.views import AS_OF, Views
 from . import ingestion as ing
@@ -41,7 +42,9 @@ def s5(v):
 
 @query("s6_scan_by_id", "SELECT entity_id, name FROM entities WHERE is_active AND entity_id > 12 ORDER BY entity_id LIMIT 8")
 def s6(v):
-    return sync.page(v.entities.where("is_active"), ["entity_id"], F.struct(F.lit(12).cast("long")), None, 8).select("entity_id", "name")
+    path = shared_path(v.spark, "pages")
+    pages.write_sorted(v.entities.where("is_active"), ["entity_id"], path, 8)
+    return pages.read_page(v.spark, path, ["entity_id"], 8, F.struct(F.lit(12).cast("long"))).rows.select("entity_id", "name")
 
 
 @query("s10_table_columns", "SELECT * FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) t(position, name, type)")
@@ -72,16 +75,6 @@ def s14(v):
 HOT_CUT = f"TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY"
 
 
-@query("s19_graph_archive", f"""SELECT 'matches' AS "table", count(*) AS rows, min(match_id) AS min_id, max(match_id) AS max_id, true AS intact FROM matches WHERE occurred_at < {HOT_CUT}
-UNION ALL SELECT 'participations', count(*), min(match_id), max(match_id), true FROM participations WHERE match_id IN (SELECT match_id FROM matches WHERE occurred_at < {HOT_CUT})
-UNION ALL SELECT 'teams', count(*), min(match_id), max(match_id), true FROM teams WHERE match_id IN (SELECT match_id FROM matches WHERE occurred_at < {HOT_CUT})""")
-def s19(v):
-    old, path = archive.plan_family(v.matches, "match_graph", ntz(AS_OF)).drop("action"), shared_path(v.spark, "graph")
-    manifest = archive.archive_graph(old, "match_id", {"participations": v.participations, "teams": v.teams}, path, "matches")
-    again = archive.graph_manifest(v.spark, "match_id", ["matches", "participations", "teams"], path)
-    return manifest.join(archive.same_manifest(manifest, again).select("table", "intact"), "table").drop("digest")
-
-
 @query("s21_published_response", f"SELECT count(*) > 0 AS available, count(*) AS items, max(score) AS best FROM (SELECT CAST(score AS DOUBLE) AS score FROM ({st.PUBLISHED}))")
 def s21(v):
     return st.published(v).agg((F.count("*") > 0).alias("available"), F.count("*").alias("items"), F.max("score").alias("best"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import monitor, retention, sync
+from ..operators import digests, monitor, retention, sync
+from ..sources import pages
+from ..sources.shared import shared_path
 from ..sources.views import AS_OF, EVENTS_AS_OF, Views
 from .base import query
 
@@ -315,18 +317,34 @@ def m32(v):
 
 # ---- reconciliation -----------------------------------------------------
 
-@query("s7_cursor_page", """SELECT event_id FROM events WHERE (ts > TIMESTAMP '2024-01-05' OR (ts = TIMESTAMP '2024-01-05' AND event_id > 0))
-  AND (ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id <= 0)) ORDER BY ts, event_id LIMIT 100""")
-def s7(v):
+S7_PAGE = """SELECT event_id FROM events WHERE (ts > TIMESTAMP '2024-01-05' OR (ts = TIMESTAMP '2024-01-05' AND event_id > 0))
+  AND (ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id <= 0)) ORDER BY ts, event_id LIMIT 100"""
+
+
+def _event_page(v: Views, files: int) -> pages.Page:
     def at(day):
         return F.struct(F.lit(day).cast("timestamp_ntz"), F.lit(0).cast("long"))
-    return sync.page(v.table("events"), ["ts", "event_id"], at("2024-01-05"), at("2024-01-20"), 100).select("event_id")
+    path = shared_path(v.spark, "pages")
+    pages.write_sorted(v.table("events"), ["ts", "event_id"], path, files)
+    return pages.read_page(v.spark, path, ["ts", "event_id"], 100, at("2024-01-05"), at("2024-01-20"))
+
+
+@query("s7_cursor_page", S7_PAGE)
+def s7(v):
+    return _event_page(v, 16).rows.select("event_id")
+
+
+@query("s7_page_files", f"SELECT count(*) AS rows, true AS few_files FROM ({S7_PAGE})")
+def s7_files(v):
+    page = _event_page(v, 16)
+    return page.rows.agg(F.count("*").alias("rows"), F.lit(len(page.files) <= 4).alias("few_files"))
 
 
 @query("s9_hash_ordered_page", "SELECT id FROM source_rows ORDER BY sha256(CAST(id AS VARCHAR)), id LIMIT 60")
 def s9(v):
-    rows = v.source_rows.withColumn("h", F.sha2(F.col("id").cast("string"), 256))
-    return sync.page(rows, ["h", "id"], None, None, 60).select("id")
+    path = shared_path(v.spark, "pages")
+    pages.write_sorted(v.source_rows.withColumn("h", F.sha2(F.col("id").cast("string"), 256)), ["h", "id"], path, 8)
+    return pages.read_page(v.spark, path, ["h", "id"], 60).rows.select("id")
 
 
 @query("s8_parent_driven_read", "SELECT match_id, line, item, price FROM participations WHERE match_id IN (SELECT match_id FROM matches WHERE occurred_at >= TIMESTAMP '2001-06-01')")
@@ -342,9 +360,27 @@ def j14(v):
     return out.withColumn("target_only", F.col("target_only").cast("int"))
 
 
-@query("u6_symmetric_difference", "SELECT id, 'source' AS side FROM source_rows WHERE id % 13 = 0 AND id % 2 = 0 UNION ALL SELECT id, 'target' FROM source_rows WHERE id % 13 <> 0 AND id % 2 = 1")
+@query("j14_range_differences", """SELECT s.id, CASE WHEN t.id IS NULL THEN 'source_only' ELSE 'differs' END AS side
+FROM source_rows s LEFT JOIN target_rows t ON s.id = t.id WHERE t.id IS NULL OR s.price IS DISTINCT FROM t.price OR s.name IS DISTINCT FROM t.name""")
+def j14_ranges(v):
+    return digests.find_differences(v.source_rows, v.target_rows, "id", ["name", "price"]).rows
+
+
+@query("j14_planted_difference", """SELECT row_number() OVER (ORDER BY o_orderkey) = 0 AS reads_again_over_a_tenth, o_orderkey, 'differs' AS side
+FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) // 3 * 3 FROM orders) OR o_orderkey = (SELECT min(o_orderkey) FROM orders)""")
+def j14_planted(v):
+    rows = v.table("orders")
+    ends = rows.agg((F.expr("max(o_orderkey) div 3") * 3).alias("_b"), F.min("o_orderkey").alias("_a"))
+    planted = rows.crossJoin(F.broadcast(ends)).withColumn("o_totalprice", F.when(  # one row
+        (F.col("o_orderkey") == F.col("_a")) | (F.col("o_orderkey") == F.col("_b")), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("_a", "_b")
+    found = digests.find_differences(rows, planted, "o_orderkey", [c for c in rows.columns if c != "o_orderkey"])
+    return found.rows.select(F.lit(sum(found.reads[1:]) * 10 > found.reads[0]).alias("reads_again_over_a_tenth"), "o_orderkey", "side")
+
+
+@query("u6_symmetric_difference", """SELECT id, 'source' AS side FROM source_rows WHERE id % 13 = 0 OR id % 17 = 0 UNION ALL SELECT -id, 'target' FROM source_rows WHERE id % 13 <> 0 AND id % 17 = 0""")
 def u6(v):
-    return sync.symmetric_difference(v.source_rows.where("id % 2 = 0"), v.target_rows, "id")
+    renumbered = v.target_rows.withColumn("id", F.when(F.col("id") % 17 == 0, -F.col("id")).otherwise(F.col("id")))
+    return sync.symmetric_difference(v.source_rows, renumbered, "id")
 
 
 @query("j15_value_mismatch", "SELECT s.id, s.price AS source_value, t.price AS target_value FROM source_rows s LEFT JOIN target_rows t ON s.id = t.id WHERE s.price IS DISTINCT FROM t.price")
@@ -381,6 +417,16 @@ def g33(v):
     return sync.child_digests(v.participations, "match_id", ["line", "item", "entity_id"])
 
 
+@query("g33_many_children", """SELECT line, digest FROM (
+  SELECT line, sum(size) || ':' || CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, chr(10) ORDER BY slice)) END AS digest FROM (
+    SELECT line, slice, count(*) AS size, sha256(string_agg(t, chr(10) ORDER BY place)) AS h FROM (
+      SELECT line, t, place, (place - 1) // 1000 AS slice FROM (
+        SELECT line, t, row_number() OVER (PARTITION BY line ORDER BY t) AS place FROM (SELECT line, match_id || '|' || item || '|' || entity_id AS t FROM participations)))
+    GROUP BY 1, 2) GROUP BY 1)""")
+def g33_many(v):
+    return digests.ordered_digests(v.participations, "line", ["match_id", "item", "entity_id"])
+
+
 @query("c29_reconcile_verdict", """SELECT 'keys' AS check, count(*) FILTER (WHERE id % 13 = 0) AS problems, false AS passed FROM source_rows
 UNION ALL SELECT 'values', count(*) FILTER (WHERE id % 13 <> 0 AND id % 17 = 0), false FROM source_rows""")
 def c29(v):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingestion, lifecycle, operations, reporting, statistics, streams  # noqa: F401
+from . import ingestion, lifecycle, operations, reporting, retention_graphs, statistics, streams  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
