@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..sources.shared import shared_path
 from .ordered import shares_at_or_below
 
 
@@ -132,19 +133,88 @@ def qualifying_matchups(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Few rows made from many, written to the shared folder as they are read more than once."""
+    path = shared_path(rows.sparkSession, "ranking")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _stored_score(raw: Column) -> Column:
     """Two decimals as a decimal column would keep them: ties go up, binary noise below 1e-10 aside."""
     return F.round(raw.cast("decimal(18,10)"), 2).cast("double")
 
 
+def _rates(w: Column) -> tuple[list[Column], Column]:
+    """Sums of one pass over capped rows, and the blended rate that they give."""
+    won, lost = F.col("result") == "victory", F.col("result") == "defeat"
+    current = F.col("_current")
+    sums = [F.count("*").alias("matches"), F.count_if(current).alias("current_rows"), *[
+        F.sum(F.when(c, w).otherwise(0.0)).alias(n) for n, c in
+        (("_all_w", won), ("_all_l", lost), ("_cur_w", won & current), ("_cur_l", lost & current))]]
+    blended = scalars.blend(
+        _rate(F.col("_cur_w"), F.col("_cur_l")), _rate(F.col("_all_w"), F.col("_all_l")), scalars.version_blend_weight(F.col("current_rows")))
+    return sums, blended
+
+
+def _strata(as_of: Column, recent_days: float) -> list[Column]:
+    """Mergeable states of strata: the few regions as a set, brackets as bits, whether any row is recent."""
+    recent = scalars.days_between(F.col("occurred_at"), as_of) <= recent_days
+    return [
+        F.collect_set("region").alias("_regions"), F.bit_or(F.when(F.col("_order") > 0, F.expr("shiftleft(1, _order - 1)"))).alias("_brackets"),
+        F.bool_or(recent).alias("recent"),
+    ]
+
+
+def _prepared(capped: DataFrame, rules: RuleSet) -> DataFrame:
+    names = F.array(*[F.lit(name) for _, name in scalars.BRACKETS])
+    return capped.withColumns({
+        "_current": F.col("version") == rules.active_version, "_order": F.array_position(names, F.col("bracket")).cast("int")})
+
+
+def entity_inputs(capped: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) -> DataFrame:
+    """All that an entity's ranking takes from capped rows, in one pass and one exchange.
+
+    (entity_id, matches, current_rows, win_rate, high_bracket, high_rate, regions, brackets, recent)
+    """
+    w = _weight(as_of)
+    sums, blended = _rates(w)
+    names = [name for _, name in scalars.BRACKETS]
+    by_bracket = []
+    for i in range(1, len(names) + 1):
+        here = F.col("_order") == i
+        by_bracket += [
+            F.count_if(here).alias(f"_n{i}"), F.sum(F.when(here & (F.col("result") == "victory"), w).otherwise(0.0)).alias(f"_w{i}"),
+            F.sum(F.when(here & (F.col("result") == "defeat"), w).otherwise(0.0)).alias(f"_l{i}")]
+    one = _prepared(capped, rules).groupBy("entity_id").agg(*sums, *by_bracket, *_strata(as_of, rules.recent_days))
+    high = F.when(F.lit(False), F.struct(F.lit("").alias("bracket"), F.lit(0.0).alias("rate")))
+    for i in range(len(names), 0, -1):  # the highest with the floor's sample, even if its rate is null
+        high = high.when(F.col(f"_n{i}") >= rules.high_floor, F.struct(F.lit(names[i - 1]).alias("bracket"), _rate(F.col(f"_w{i}"), F.col(f"_l{i}")).alias("rate")))
+    return one.withColumn("_high", high).select(
+        "entity_id", "matches", "current_rows", blended.alias("win_rate"), F.col("_high.bracket").alias("high_bracket"), F.col("_high.rate").alias("high_rate"),
+        F.size("_regions").cast("long").alias("regions"), F.bit_count(F.coalesce("_brackets", F.lit(0))).cast("long").alias("brackets"), "recent")
+
+
+def mode_inputs(capped: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) -> DataFrame:
+    """(entity_id, mode, matches, current_rows, win_rate, regions, brackets, recent) in one pass.
+
+    Rates are those of the mode, strata those of the entity over all its modes:
+    the states of its few modes are merged.
+    """
+    sums, blended = _rates(_weight(as_of))
+    one = _prepared(capped, rules).groupBy("entity_id", "mode").agg(*sums, *_strata(as_of, rules.recent_days))
+    whole = Window.partitionBy("entity_id")  # a row for each mode
+    merged = one.select(
+        "entity_id", "mode", "matches", "current_rows", blended.alias("win_rate"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_regions").over(whole)))).cast("long").alias("regions"),
+        F.bit_count(F.coalesce(F.bit_or("_brackets").over(whole), F.lit(0))).cast("long").alias("brackets"), F.bool_or("recent").over(whole).alias("recent"))
+    return merged.where("mode IS NOT NULL")
+
+
 def rank_entities(capped: DataFrame, candidates: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) -> DataFrame:
     """The overall ranking: rates rounded as they are stored, tiers unrounded."""
-    rows = (
-        blended_rates(capped, ["entity_id"], as_of, rules)
-        .join(high_rank_rates(capped, as_of, rules.high_floor), "entity_id", "left")
-        .join(strata_coverage(capped, as_of, rules.recent_days), "entity_id", "left")
-        .join(matchup_coverage(candidates), "entity_id", "left")
-    )
+    rows = entity_inputs(capped, as_of, rules).join(matchup_coverage(candidates), "entity_id", "left")
+    rows = _kept(rows)  # totals and tiers read it again
     rows = pick_rates(rows, []).select(
         "*", F.round("win_rate", 5).alias("rate"), F.round("high_rate", 5).alias("high"),
         F.round("pick_rate", 5).alias("pick"), F.coalesce("coverage", F.lit(0.0)).alias("covered"),
@@ -163,22 +233,33 @@ def rank_entities(capped: DataFrame, candidates: DataFrame, as_of: Column, rules
 
 def rank_modes(capped: DataFrame, as_of: Column, rules: RuleSet = RuleSet()) -> DataFrame:
     """The ranking within each mode; confidence takes the entity's own gates."""
-    rows = blended_rates(capped.where("mode IS NOT NULL"), ["entity_id", "mode"], as_of, rules)
+    rows = _kept(mode_inputs(capped, as_of, rules))
     rows = pick_rates(rows, ["mode"]).select(
         "*", F.round("win_rate", 5).alias("rate"), F.round("pick_rate", 5).alias("pick")
     )
     scored = rows.where((F.col("matches") >= rules.mode_floor) & F.col("rate").isNotNull()).withColumn(
         "raw_score", scalars.mode_score(F.col("rate"), F.col("pick"))
     )
-    strata = strata_coverage(capped, as_of, rules.recent_days)
     gate = scalars.high_gate(F.coalesce("recent", F.lit(False)), F.col("regions"), F.col("brackets"))
-    return percentile_tiers(scored, "raw_score", ["mode"]).join(strata, "entity_id", "left").select(
+    return percentile_tiers(scored, "raw_score", ["mode"]).select(
         "entity_id", "mode", "matches", F.col("rate").alias("win_rate"), F.col("pick").alias("pick_rate"),
         _stored_score(F.col("raw_score")).alias("score"), "tier",
         scalars.confidence(F.col("matches"), gate, (30, 60, 150)).alias("confidence"),
     )
 
 
+def rule_reach(facts: DataFrame, rules: RuleSet) -> DataFrame:
+    """(name, value, groups): how many groups each floor lets pass, and how many the cap cuts."""
+    def one(name: str, rows: DataFrame, keys: list[str], over: bool) -> DataFrame:
+        value = getattr(rules, name)
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        reached = F.col("n") > value if over else F.col("n") >= value
+        return sizes.agg(F.lit(name).alias("name"), F.lit(float(value)).alias("value"), F.count_if(reached).alias("groups"))
+
+    return one("cap", facts, ["entity_id", "player_id"], True).unionByName(one("overall_floor", facts, ["entity_id"], False)).unionByName(
+        one("mode_floor", facts.where("mode IS NOT NULL"), ["entity_id", "mode"], False))
+
+
 def compare_tiers(new: DataFrame, current: DataFrame) -> DataFrame:
     """Each new row beside the published one of the same entity."""
     old = current.select("entity_id", F.col("tier").alias("old_tier"), F.col("score").alias("old_score"))

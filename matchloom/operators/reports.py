@@ -77,3 +77,17 @@ def nearest_rank(rows: DataFrame, value: str, group: str, shares=(0.5, 0.95, 0.9
     return placed.groupBy(group).agg(*[
         F.min(F.when(F.col("_upto") >= F.ceil(F.col("_n") * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}") for p in shares
     ])
+
+
+def tables_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of the tables that a folder holds, as its file system lists them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return spark.createDataFrame([(n.removesuffix(".parquet"),) for n in sorted(names) if n.endswith(".parquet")], "name string")
+
+
+def expected_tables(spark: SparkSession, folder: str, expected: tuple[str, ...]) -> DataFrame:
+    """(name, present) for each table that should be there."""
+    there = tables_in(spark, folder).withColumn("_there", F.lit(True))
+    wanted = spark.createDataFrame([(n,) for n in expected], "name string")
+    return wanted.join(there, "name", "left").select("name", F.coalesce("_there", F.lit(False)).alias("present"))

@@ -75,6 +75,19 @@ def refresh_merge(rows: DataFrame, key: str, columns: list[str], order: list[str
     ])
 
 
+def unpromoted(observed: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` players seen that are not promoted yet, oldest first, with their place in that order.
+
+    Observed: id, promoted, first_observed_at, source, detail (JSON).  A club is
+    named for members of clubs whose detail can be read; the choice is a top-k,
+    so the place is numbered over ``limit`` rows only.
+    """
+    first = observed.where(~F.col("promoted")).orderBy("first_observed_at", "id").limit(limit)
+    club = F.when(F.col("source") == "club_member", F.get_json_object("detail", "$.clubTag"))
+    place = F.row_number().over(Window.orderBy("first_observed_at", "id"))
+    return first.withColumn("place", place.cast("long")).withColumn("club_tag", club)
+
+
 def rate_budget(requests: DataFrame, window_s: int, ceiling: int, reserve: int, order: list[str]) -> DataFrame:
     """Grant requests (scope, at, priority) within fixed windows of time, numbered by ``slot``.
 

@@ -362,11 +362,14 @@ def m3(v):
     return ingest.mark_unreachable(v.players.select("player_id", F.lit(True).alias("is_reachable")), failed)
 
 
-@query("m5_candidates", "SELECT event_id AS id, CASE WHEN event_type = 'click' AND event_id % 3 > 0 THEN '#C' || user_id END AS club_tag FROM events WHERE event_id % 4 <> 0")
+@query("m5_candidates", """SELECT event_id AS id, CASE WHEN event_type = 'click' AND event_id % 3 > 0 THEN '#C' || user_id END AS club_tag, place FROM (
+  SELECT *, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE value < 60) WHERE place <= 200""")
 def m5(v):
-    e = v.table("events").where("event_id % 4 <> 0")
     detail = F.when(F.col("event_id") % 3 == 0, "{malformed").otherwise(F.concat(F.lit('{"clubTag":"#C'), "user_id", F.lit('"}')))
-    return e.select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", F.get_json_object(detail, "$.clubTag")).alias("club_tag"))
+    seen = v.table("events").select(
+        F.col("event_id").alias("id"), (F.col("value") >= 60).alias("promoted"), F.col("ts").alias("first_observed_at"),
+        F.when(F.col("event_type") == "click", "club_member").otherwise("match").alias("source"), detail.alias("detail"))
+    return sampling.unpromoted(seen, 200).select("id", "club_tag", "place")
 
 
 @query("m9_recent_fetch_guard", "SELECT player_id FROM players WHERE player_id IN (SELECT fetch_id FROM observations WHERE observed_at >= TIMESTAMP '2024-01-29' AND kind = 'view')")
@@ -380,11 +383,12 @@ def m10(v):
     return v.matches.where("version = 'O'").groupBy("player_id").agg(F.max("match_id").alias("snapshot_id"))
 
 
-@query("m11_rule_set", "SELECT name, CAST(value AS DOUBLE) AS value FROM (VALUES ('cap', 20.0), ('overall_floor', 100.0), ('mode_floor', 30.0), ('high_floor', 30.0), ('guard', 0.25), ('significance', 1.0)) t(name, value)")
+@query("m11_rule_set", """SELECT name, CAST(value AS DOUBLE) AS value, CAST(CASE name WHEN 'cap' THEN (SELECT count(*) FROM (SELECT 1 FROM facts GROUP BY entity_id, player_id HAVING count(*) > 20))
+    WHEN 'overall_floor' THEN (SELECT count(*) FROM (SELECT 1 FROM facts GROUP BY entity_id HAVING count(*) >= 100))
+    ELSE (SELECT count(*) FROM (SELECT 1 FROM facts WHERE mode IS NOT NULL GROUP BY entity_id, mode HAVING count(*) >= 30)) END AS BIGINT) AS groups
+FROM (VALUES ('cap', 20.0), ('overall_floor', 100.0), ('mode_floor', 30.0)) t(name, value)""")
 def m11(v):
-    rules = ranking.RuleSet()
-    return v.spark.createDataFrame(
-        [(n, float(getattr(rules, n))) for n in ("cap", "overall_floor", "mode_floor", "high_floor", "guard", "significance")], "name string, value double")
+    return ranking.rule_reach(st.facts(v), ranking.RuleSet())
 
 
 @query("m12_run_statuses", "SELECT run_id, status, count(p.match_id) AS rows FROM runs LEFT JOIN participations p ON run_id = p.match_id GROUP BY 1, 2")
@@ -442,9 +446,7 @@ def r1(v):
 @query("r2_entity_ranking_inputs", f"""SELECT b.entity_id, b.matches, round(b.rate_raw, 5) AS win_rate, round(h.high_raw, 5) AS high_rate, s.regions, s.brackets, s.recent
 FROM ({st.BLENDED.format(keys='entity_id', where='')}) b LEFT JOIN ({st.HIGH}) h ON b.entity_id = h.entity_id LEFT JOIN ({st.STRATA}) s ON b.entity_id = s.entity_id""")
 def r2(v):
-    rows = st.capped(v)
-    out = ranking.blended_rates(rows, ["entity_id"], st.as_of(), ranking.RuleSet()).join(
-        ranking.high_rank_rates(rows, st.as_of()), "entity_id", "left").join(ranking.strata_coverage(rows, st.as_of()), "entity_id", "left")
+    out = ranking.entity_inputs(st.capped(v), st.as_of())
     return st.rounded(out.select("entity_id", "matches", "win_rate", "high_rate", "regions", "brackets", "recent"), "win_rate", "high_rate")
 
 

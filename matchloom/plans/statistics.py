@@ -45,11 +45,9 @@ def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-@query("j1_participation_facts", """
-SELECT coalesce(result, 'none') AS result, count(*) AS n, count(DISTINCT match_id) AS matches FROM facts GROUP BY 1""")
+@query("j1_participation_facts", "SELECT match_id, entity_id, line, item, team_id, player_id, occurred_at, mode, version, result FROM facts")
 def j1(v):
-    return facts(v).groupBy(F.coalesce("result", F.lit("none")).alias("result")).agg(
-        F.count("*").alias("n"), F.count_distinct("match_id").alias("matches"))
+    return facts(v).select("match_id", "entity_id", "line", "item", "team_id", "player_id", "occurred_at", "mode", "version", "result")
 
 
 @query("g1_mode_aggregate", f"""
@@ -223,11 +221,22 @@ def g13(v):
     return rounded(ranking.matchup_coverage(candidates(v)), "coverage")
 
 
-@query("p24_qualifying_matchups", f"""
-SELECT entity_id, opponent_id, matches FROM ({CANDIDATES})
-WHERE relationship IS NOT NULL AND win_rate IS NOT NULL AND confidence IN ('probable_counter', 'high_confidence_counter')""")
+NATION_PAIRS = """SELECT entity_id, opponent_id, count(*) AS matches, count(*) FILTER (WHERE result = 'victory') AS wins, count(*) FILTER (WHERE result = 'defeat') AS losses FROM (
+  SELECT x.nation AS entity_id, y.nation AS opponent_id, t.result FROM participations a JOIN participations b ON a.match_id = b.match_id AND a.team_id <> b.team_id
+    JOIN matches m ON a.match_id = m.match_id JOIN teams t ON a.team_id = t.team_id JOIN catalog x ON a.entity_id = x.entity_id JOIN catalog y ON b.entity_id = y.entity_id
+  WHERE m.mode IS NOT NULL AND x.nation <> y.nation) GROUP BY 1, 2"""
+
+
+@query("p24_qualifying_matchups", f"""SELECT entity_id, opponent_id, matches, {rate()} AS win_rate,
+  CASE WHEN r <= 0.35 THEN 'hard_counter' WHEN r < 0.45 THEN 'counter' WHEN r <= 0.55 THEN 'neutral' WHEN r < 0.65 THEN 'strong' ELSE 'hard_advantage' END AS relationship
+FROM (SELECT *, wins / nullif(wins + losses, 0) AS r FROM ({NATION_PAIRS})) WHERE matches >= 40 AND r IS NOT NULL""")
 def p24(v):
-    return ranking.qualifying_matchups(candidates(v)).select("entity_id", "opponent_id", "matches")
+    """Pairs of nations, which meet often enough at every scale."""
+    nations = v.catalog.select("entity_id", F.col("nation").cast("long").alias("nation"))
+    rows = v.participations.join(nations, "entity_id").drop("entity_id").withColumnRenamed("nation", "entity_id")
+    entities = nations.select(F.col("nation").alias("entity_id"), F.lit(True).alias("is_active")).distinct()
+    pooled = aggregate.pooled_matchups(aggregate.matchup_aggregate(rows, v.matches, v.teams, entities))
+    return ranking.qualifying_matchups(ranking.matchup_candidates(pooled)).select("entity_id", "opponent_id", "matches", "win_rate", "relationship")
 
 
 RANKED = f"""
