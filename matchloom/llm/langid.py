@@ -9,9 +9,9 @@ sample: a text is rejected if its cross-entropy exceeds what its language's own
 texts show by a wide margin, longer texts being held closer to the mean.
 
 Only the text is read for a prediction.  The sample holds at most
-``max_per_language`` documents of each language, chosen by a hash of their id, and of each at most
-``max_chars`` characters to learn from, so the driver's work is bounded; every text that is scored is
-read whole.  A model of more than ``max_model_bytes`` raises an error before it is broadcast.  Texts that a model of the sample's other half
+``max_per_language`` documents of each language, chosen by a hash of their id,
+with ``max_chars`` characters together (one document at least), so the driver's
+work is bounded; every text is learned from and scored whole.  A model of more than ``max_model_bytes`` raises an error before it is broadcast.  Texts that a model of the sample's other half
 rejects are not learned from, so a wrong label does not make junk acceptable;
 a language of fewer than twenty texts keeps all of them, and its limit follows
 halves of its texts that a model of the other halves has not seen.
@@ -102,6 +102,17 @@ class Model:
             )
         return -total / np.maximum(lengths - 1, 1)[:, None] / np.log(2)
 
+    def long_entropies(self, part: np.ndarray, block: int = 500_000) -> np.ndarray:
+        """``entropies`` of one text, in blocks that carry their context."""
+        bits = np.zeros((1, len(self.languages)))
+        for a in range(0, max(1, len(part) - 1), block):
+            before = min(a, self.order - 1)
+            cut = part[a - before : a + block + 1]
+            whole = self.entropies([cut]) * max(len(cut) - 1, 1)
+            # what the context itself costs was counted with the block before
+            bits += whole - (self.entropies([cut[: before + 1]]) * before if before else 0)
+        return bits / max(len(part) - 1, 1)
+
     def _lookup(self, s: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
         """Log probabilities of the n-grams that end at ``ends``."""
         h = s[ends - n + 1].astype(np.uint64) + np.uint64(1)
@@ -154,6 +165,34 @@ class Model:
             out[i] = (self.languages[b], float(min(max(p, 0.0), 1.0)), bool(r))
 
 
+def _grams(parts: list[np.ndarray], n: int, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Different n-grams, how often each is, and the grams without its first and its last symbol; counted in blocks."""
+    made, held = [], []
+
+    def counted(cut: list[np.ndarray]) -> None:
+        hs = np.concatenate([gram_hashes(s, n) for s in cut])
+        uniq, at, c = np.unique(hs, return_index=True, return_counts=True)
+        suffix, prefix = (np.concatenate([gram_hashes(s, n - 1)[d] for s in cut])[at] if n > 1 else uniq for d in (slice(1, None), slice(None, -1)))
+        made.append((uniq, c, suffix, prefix))
+
+    size = 0
+    for s in (p[a : a + block + n - 1] for p in parts for a in range(0, max(1, len(p) - n + 1), block)):
+        if len(s) >= n:
+            held.append(s)
+            size += len(s)
+        if size >= block:
+            counted(held)
+            held, size = [], 0
+    if held:
+        counted(held)
+    if not made:
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(0, np.int64), (none, none)
+    every, times, suffix, prefix = (np.concatenate(x) for x in zip(*made, strict=True))
+    uniq, at, where = np.unique(every, return_index=True, return_inverse=True)
+    return uniq, np.bincount(where, times).astype(np.int64), (suffix[at], prefix[at])
+
+
 def train(
     samples: dict[str, list[str | None]], order: int = 4, discount: float = 0.75, halved: bool = True,
     max_model_bytes: int = 400_000_000,
@@ -171,13 +210,8 @@ def train(
     for n in range(1, order + 1):
         per, info = [], {}
         for x in languages:
-            hs = np.concatenate([gram_hashes(s, n) for s in parts[x] if len(s) >= n] or [np.zeros(0, np.uint64)])
-            uniq, at, c = np.unique(hs, return_index=True, return_counts=True)
+            uniq, c, info[x] = _grams(parts[x], n)
             per.append((uniq, c))
-            if n > 1:
-                suffix = np.concatenate([gram_hashes(s, n - 1)[1:] for s in parts[x] if len(s) >= n] or [np.zeros(0, np.uint64)])
-                prefix = np.concatenate([gram_hashes(s, n - 1)[:-1] for s in parts[x] if len(s) >= n] or [np.zeros(0, np.uint64)])
-                info[x] = (suffix[at], prefix[at])
         table = np.unique(np.concatenate([u for u, _ in per])) if per else np.zeros(0, np.uint64)
         size_of += len(table) * n_lang * 8
         if size_of > max_model_bytes:
@@ -225,7 +259,7 @@ def train(
     model = Model(languages, order, tables, logp, contexts, backoff, float(np.log(1 / size / 2)),
                   np.zeros(n_lang), np.zeros(n_lang), np.zeros(n_lang))
     for j, x in enumerate(languages):
-        own = np.concatenate([model.entropies([p])[:, j] for p in parts[x]])
+        own = np.concatenate([model.long_entropies(p)[:, j] for p in parts[x]])
         n = np.array([len(p) for p in parts[x]])
         mean = float(np.average(own, weights=n))
         # a wide margin: texts of a language are not rejected for their own spread
@@ -247,32 +281,39 @@ def train(
     return model
 
 
-def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allowed=None, max_chars: int = 200_000) -> DataFrame:
-    """(lang, text) of the documents to learn from, by a hash of their id.
+def sample_rows(docs: DataFrame, max_per_language: int, max_languages: int, allowed=None, max_chars: int = 4_000_000) -> DataFrame:
+    """(lang, text) of the documents to learn from, whole, by a hash of their id.
 
-    The window keeps a bounded number of ids of each language within each task
-    before anything is exchanged; texts are fetched for those ids only.
+    Of each language at most ``max_per_language`` documents that hold
+    ``max_chars`` characters together, one at least; documents so long that
+    twenty of them would not fit come last, the shortest first.  The window
+    keeps a bounded number of ids of each language within each task before
+    anything is exchanged; texts are fetched for those ids only.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).withColumn("_chars", F.coalesce(F.length("text"), F.lit(0)))
     if allowed is not None:
         known = known.where(allowed)
     # bounded by max_languages rows, and no language is left out in silence
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).select("lang")
     if common.count() > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages to learn them all")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.join(F.broadcast(common), "lang").select("doc_id", "lang")
-        .withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= max_per_language).select("doc_id", "lang")
+    long = F.when(F.col("_chars") * 2 * _JUDGES > max_chars, F.col("_chars")).otherwise(0)
+    w = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id"), "doc_id")
+    first = (
+        known.join(F.broadcast(common), "lang").select("doc_id", "lang", "_chars", long.alias("_long"))
+        .withColumn("place", F.dense_rank().over(w)).where(F.col("place") <= max_per_language)
     )
+    # over the few rows of each language that are left
+    upto = F.sum("_chars").over(Window.partitionBy("lang").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("_upto", upto).where((F.col("place") == 1) | (F.col("_upto") <= max_chars)).select("doc_id", "lang")
     # bounded by max_languages * max_per_language rows of two values
     found = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
     # one row stays of those that repeat an id
-    text = F.coalesce(F.substring("text", 1, max_chars), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     return found.groupBy("doc_id", "lang").agg(F.min(text).alias("text"))
 
 
-def fit(docs: DataFrame, max_per_language: int = 200, max_languages: int = 64, allowed=None, max_chars: int = 200_000, **options) -> Model:
+def fit(docs: DataFrame, max_per_language: int = 200, max_languages: int = 64, allowed=None, max_chars: int = 4_000_000, **options) -> Model:
     rows = sample_rows(docs, max_per_language, max_languages, allowed, max_chars)
     samples: dict[str, list] = {}
     for r in sorted((r["lang"], r["doc_id"], r["text"]) for r in rows.toLocalIterator()):

@@ -11,9 +11,10 @@ tie with the last of them (within ``TIE``) vote too, so copies in the sample and
 the order of rows make no difference.
 
 Only the text is read for a score.  The sample holds at most ``max_labelled``
-rows, chosen by a hash of their id, and of each at most ``max_chars`` characters
-to learn from, so the driver's work and the broadcast have a fixed bound and the
-choice does not depend on the order of rows.  Every text is scored whole.
+rows, chosen by a hash of their id; their features are worked out in tasks, from
+whole texts, and only these go to the driver.  So its work and the broadcast have
+a fixed bound, and the choice does not depend on the order of rows.  Every text
+is learned from and scored whole.
 
 Edge cases: a null or empty text has no features and scores as the share of
 label 1 in the sample, as does any text if there are no labels (then 1.0); null labels
@@ -139,18 +140,19 @@ class Model:
 
 def train(
     texts: list[str | None], labels: list[float], dimensions: int = 64, neighbours: int = 15, power: float = 8.0,
-    found_in: np.ndarray | None = None, total: int = 0,
+    found_in: np.ndarray | None = None, total: int = 0, rows: np.ndarray | None = None,
 ) -> Model:
     """Fit on a bounded sample; plain linear algebra on a few thousand rows.
 
+    ``rows``: the features of the texts, where they are worked out already.
+
     ``found_in``: in how many of ``total`` documents each word bucket occurs;
     of the sample's own if not given.
     """
     y = np.array(labels, np.float64)
     prior = float(y.mean()) if len(y) else 1.0
-    rows = np.zeros((len(texts), WIDTH), np.float32)
-    for i, text in enumerate(texts):
-        rows[i] = features(text)
+    if rows is None:
+        rows = np.array([features(t) for t in texts], np.float32).reshape(len(texts), WIDTH)
     seen, n = np.count_nonzero(rows, axis=0), np.full(WIDTH, len(rows))
     if found_in is not None:
         seen[_PLAIN:], n[_PLAIN:] = found_in, total
@@ -175,8 +177,8 @@ def _latent(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
     return np.linalg.svd(q.T @ rows, full_matrices=False)[2][:dimensions].T.copy()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, allowed=None, max_chars: int = 200_000) -> DataFrame:
-    """At most ``max_labelled`` rows (doc_id, text, label), by a hash of the id; of each text ``max_chars`` to learn from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labelled: int, allowed=None) -> DataFrame:
+    """At most ``max_labelled`` rows (doc_id, text, label), by a hash of the id; texts are whole."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     if allowed is not None:
         known = known.where(allowed)
@@ -186,7 +188,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_labe
     )
     # bounded by max_labelled rows of two numbers; one row stays of those that repeat an id
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    text = F.coalesce(F.substring("text", 1, max_chars), F.lit(""))
+    text = F.coalesce("text", F.lit(""))
     return found.groupBy("doc_id", "label").agg(F.min(text).alias("text")).select("doc_id", "text", "label")
 
 
@@ -211,13 +213,29 @@ def words_found(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, in
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, allowed=None, max_chars: int = 200_000,
-    **options,
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, allowed=None, **options,
 ) -> Model:
-    sample = labelled_sample(docs, labels, label_col, max_labelled, allowed, max_chars)
-    rows = sorted((r["doc_id"], r["text"], r["label"]) for r in sample.toLocalIterator())
+    """A model of at most ``max_labelled`` labelled rows; the driver sees their features, never their texts."""
+    sample = labelled_sample(docs, labels, label_col, max_labelled, allowed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = features(batch.column(1)[i].as_py())
+                at = np.flatnonzero(made).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, 1), batch.column(2).slice(i, 1).cast(pa.float64()), pa.array([at], pa.list_(pa.int32())), pa.array([made[at]], pa.list_(pa.float32()))],
+                    ["doc_id", "label", "at", "value"])
+        _SEEN.clear()
+
+    featured = sample.select("doc_id", "text", F.col("label").cast("double").alias("label"))
+    found = featured.mapInArrow(run, "doc_id long, label double, at array<int>, value array<float>").orderBy("doc_id", "label")
+    rows, y = np.zeros((max_labelled, WIDTH), np.float32), []
+    for r in found.toLocalIterator():
+        rows[len(y), r["at"]] = r["value"]
+        y.append(r["label"])
     found_in, total = words_found(docs)
-    return train([r[1] for r in rows], [r[2] for r in rows], found_in=found_in, total=total, **options)
+    return train([None] * len(y), y, found_in=found_in, total=total, rows=rows[: len(y)], **options)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
