@@ -404,14 +404,14 @@ def u5(v):
     return changes.groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("u4_removed_entities", "SELECT entity_id, name FROM catalog WHERE entity_id % 5 <> 0 AND entity_id % 7 = 0")
+@query("u4_removed_entities", "SELECT entity_id, name FROM catalog WHERE (entity_id % 5 <> 0 OR entity_id % 7 = 0) AND entity_id % 7 = 0")
 def u4(v):
-    return catalog.removed_entities(v.catalog.where("entity_id % 5 <> 0"), v.catalog.where("entity_id % 7 <> 0")).select("entity_id", "name")
+    return catalog.removed_entities(v.catalog.where("(entity_id % 5 <> 0 OR entity_id % 7 = 0)"), v.catalog.where("entity_id % 7 <> 0")).select("entity_id", "name")
 
 
-@query("c2_removals", "SELECT entity_id, 'removed_or_deprecated' AS change FROM catalog WHERE entity_id % 5 <> 0 AND entity_id % 7 = 0")
+@query("c2_removals", "SELECT entity_id, 'removed_or_deprecated' AS change FROM catalog WHERE (entity_id % 5 <> 0 OR entity_id % 7 = 0) AND entity_id % 7 = 0")
 def c2(v):
-    gone = catalog.removed_entities(v.catalog.where("entity_id % 5 <> 0"), v.catalog.where("entity_id % 7 <> 0"))
+    gone = catalog.removed_entities(v.catalog.where("(entity_id % 5 <> 0 OR entity_id % 7 = 0)"), v.catalog.where("entity_id % 7 <> 0"))
     return gone.select("entity_id", F.lit("removed_or_deprecated").alias("change"))
 
 
@@ -423,11 +423,11 @@ def c3(v):
 
 
 @query("c4_catalog_merge", """SELECT entity_id, CASE WHEN entity_id % 7 <> 0 AND entity_id % 4 = 0 THEN name || ' II' ELSE name END AS name,
-  CASE WHEN entity_id % 5 <> 0 THEN 'kept-' || entity_id ELSE lower(replace(CASE WHEN entity_id % 4 = 0 THEN name || ' II' ELSE name END, '#', '-').replace(' ', '-')) END AS slug,
-  CASE WHEN entity_id % 5 <> 0 AND entity_id % 7 <> 0 AND entity_id % 4 = 0 THEN name END AS alias, entity_id % 7 <> 0 AS is_active,
-  CASE WHEN entity_id % 7 <> 0 THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '2000-01-01' END AS last_seen FROM catalog WHERE entity_id % 5 <> 0 OR entity_id % 7 <> 0""")
+  CASE WHEN (entity_id % 5 <> 0 OR entity_id % 7 = 0) THEN 'kept-' || entity_id ELSE lower(replace(CASE WHEN entity_id % 4 = 0 THEN name || ' II' ELSE name END, '#', '-').replace(' ', '-')) END AS slug,
+  CASE WHEN (entity_id % 5 <> 0 OR entity_id % 7 = 0) AND entity_id % 7 <> 0 AND entity_id % 4 = 0 THEN name END AS alias, entity_id % 7 <> 0 AS is_active,
+  CASE WHEN entity_id % 7 <> 0 THEN TIMESTAMP '2001-08-02' ELSE TIMESTAMP '2000-01-01' END AS last_seen FROM catalog WHERE (entity_id % 5 <> 0 OR entity_id % 7 = 0) OR entity_id % 7 <> 0""")
 def c4(v):
-    current = v.catalog.where("entity_id % 5 <> 0").selectExpr("entity_id", "name", "concat('kept-', entity_id) AS slug", "TIMESTAMP_NTZ '2000-01-01' AS last_seen")
+    current = v.catalog.where("(entity_id % 5 <> 0 OR entity_id % 7 = 0)").selectExpr("entity_id", "name", "concat('kept-', entity_id) AS slug", "TIMESTAMP_NTZ '2000-01-01' AS last_seen")
     incoming = v.catalog.where("entity_id % 7 <> 0").selectExpr("entity_id", "CASE WHEN entity_id % 4 = 0 THEN name || ' II' ELSE name END AS name")
     return catalog.merge_catalog(current, incoming, F.lit("2001-08-02").cast("timestamp_ntz"))
 

@@ -337,21 +337,21 @@ def m18(v):
 @query("c12_player_upsert", """SELECT id AS player_id, CASE WHEN k2 AND id % 4 = 0 THEN c_name || ' II' ELSE c_name END AS name, CASE WHEN k2 AND id % 10 = 0 THEN c_nationkey END AS club_id,
   CASE WHEN k2 AND id % 10 <> 0 THEN '#W' WHEN NOT k2 THEN '#OLD' END AS pending_club, k2 AS is_reachable, CASE WHEN k2 AND k3 AND id % 4 = 0 THEN c_name END AS previous_name,
   CASE WHEN NOT k3 THEN 'new' WHEN NOT k2 THEN 'kept' WHEN id % 4 = 0 THEN 'renamed' ELSE 'same' END AS action
-FROM (SELECT *, c_custkey AS id, c_custkey % 2 = 0 AS k2, c_custkey % 3 = 0 AS k3 FROM customer) WHERE k2 OR k3""")
+FROM (SELECT *, c_custkey AS id, c_custkey % 2 = 0 AS k2, c_custkey % 3 = 0 OR c_custkey % 2 = 1 AS k3 FROM customer)""")
 def c12(v):
     return _players_after(v)
 
 
 def _players_after(v: Views) -> DataFrame:
     c = v.table("customer")
-    current = c.where("c_custkey % 3 = 0").selectExpr("c_custkey AS player_id", "c_name AS name", "CAST(NULL AS INT) AS club_id", "'#OLD' AS pending_club", "false AS is_reachable")
+    current = c.where("c_custkey % 3 = 0 OR c_custkey % 2 = 1").selectExpr("c_custkey AS player_id", "c_name AS name", "CAST(NULL AS INT) AS club_id", "'#OLD' AS pending_club", "false AS is_reachable")
     incoming = c.where("c_custkey % 2 = 0").selectExpr(
         "c_custkey AS player_id", "CASE WHEN c_custkey % 4 = 0 THEN c_name || ' II' ELSE c_name END AS name", "CASE WHEN c_custkey % 10 = 0 THEN c_nationkey END AS club_id", "'#W' AS pending_club")
     return ingest.upsert_players(current, incoming)
 
 
 @query("r10_profile_sync", """SELECT CASE WHEN NOT k3 THEN 'new' WHEN NOT k2 THEN 'kept' WHEN id % 4 = 0 THEN 'renamed' ELSE 'same' END AS action, count(*) AS n
-FROM (SELECT c_custkey AS id, c_custkey % 2 = 0 AS k2, c_custkey % 3 = 0 AS k3 FROM customer) WHERE k2 OR k3 GROUP BY 1""")
+FROM (SELECT c_custkey AS id, c_custkey % 2 = 0 AS k2, c_custkey % 3 = 0 OR c_custkey % 2 = 1 AS k3 FROM customer) GROUP BY 1""")
 def r10(v):
     return _players_after(v).groupBy("action").agg(F.count("*").alias("n"))
 
@@ -480,11 +480,11 @@ def c26(v):
     return monitor.response_plan(levels).select("id", "step", "action")
 
 
-@query("r9_seed_refresh", """SELECT player_id AS player, coalesce(CASE WHEN player_id % 2 = 0 THEN 'global' END, CASE WHEN player_id % 3 = 0 THEN 'br' END) AS region,
-  coalesce(CASE WHEN player_id % 3 = 0 THEN bracket END, CASE WHEN player_id % 2 = 0 THEN 'unranked' END) AS bracket FROM players WHERE player_id % 2 = 0 OR player_id % 3 = 0""")
+@query("r9_seed_refresh", """SELECT player_id AS player, coalesce(CASE WHEN player_id % 2 = 0 THEN 'global' END, CASE WHEN player_id % 3 = 0 OR player_id % 2 = 1 THEN 'br' END) AS region,
+  coalesce(CASE WHEN player_id % 3 = 0 OR player_id % 2 = 1 THEN bracket END, CASE WHEN player_id % 2 = 0 THEN 'unranked' END) AS bracket FROM players""")
 def r9(v):
     current = v.players.where("player_id % 2 = 0").selectExpr("player_id AS player", "'global' AS region", "'unranked' AS bracket")
-    seeds = v.players.where("player_id % 3 = 0").select(F.col("player_id").alias("player"), F.lit("br").alias("region"), scalars.bracket(F.col("trophies")).alias("bracket"))
+    seeds = v.players.where("player_id % 3 = 0 OR player_id % 2 = 1").select(F.col("player_id").alias("player"), F.lit("br").alias("region"), scalars.bracket(F.col("trophies")).alias("bracket"))
     return sampling.seed_schedule(current, seeds)
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path
-from ..streaming import slices, twins
+from ..streaming import slices, twins, windows
 from .base import query
+from .ingestion import ANCHORED
 from .statistics import rate, rounded
 
 
@@ -47,6 +48,15 @@ def x5(v):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("x5_stream_anchored_windows", f"""WITH {ANCHORED}, used AS (SELECT w.scope, w.begun AS window_start, count(*) AS used FROM events e
+  ASOF JOIN windows w ON e.event_type = w.scope AND epoch_us(e.ts) // 1000 >= w.begun GROUP BY 1, 2)
+SELECT * FROM used u WHERE window_start < (SELECT max(window_start) FROM used x WHERE x.scope = u.scope)""")
+def x5_anchored(v):
+    with windows.provider(v.spark):
+        stream = windows.ended_windows(_events(v).selectExpr("event_type AS scope", "ts AS at"), 21600)
+        return twins.results(v.spark, stream.schema, twins.run_available(stream, "append"))
+
+
 @query("x7_stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def x7(v):
     rows = v.spark.read.parquet(twins.run_available(twins.hourly_counts(_events(v)), "complete"))
