@@ -167,35 +167,3 @@ def plan_family(rows: DataFrame, name: str, as_of: Column) -> DataFrame:
     old = F.col(family.at) < as_of - F.make_interval(days=days)
     may = old if family.only is None else old & F.expr(family.only)
     return rows.where(may).withColumn("action", F.lit("archive" if family.archive_only else "archive_and_delete"))
-
-
-def archive_graph(anchors: DataFrame, key: str, children: dict[str, DataFrame], path: str, anchor_name: str = "anchors") -> DataFrame:
-    """Write the anchors and their child rows; the manifest has a row per table.
-
-    Digests are sums over rows, so that a table of any size folds in parallel
-    and in any order.
-    """
-    keys = anchors.select(key).distinct()
-    tables = {anchor_name: anchors} | {n: rows.join(keys, key, "left_semi") for n, rows in children.items()}
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-    return graph_manifest(anchors.sparkSession, key, list(tables), path)
-
-
-def graph_manifest(spark: SparkSession, key: str, names: list[str], path: str) -> DataFrame:
-    """The manifest as read back from the files."""
-    out = None
-    for name in names:
-        rows = spark.read.parquet(f"{path}/{name}")
-        digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 12), 16, 10).cast("decimal(38,0)")
-        one = rows.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.min(key).alias("min_id"), F.max(key).alias("max_id"),
-                       F.sum(digest).alias("digest"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def same_manifest(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(table, rows, intact) of each table of the first manifest."""
-    other = two.select("table", F.struct("rows", "min_id", "max_id", "digest").alias("_other"))
-    mine = F.struct("rows", "min_id", "max_id", "digest")
-    return one.join(other, "table", "left").select("table", "rows", mine.eqNullSafe(F.col("_other")).alias("intact"))

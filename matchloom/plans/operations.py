@@ -149,7 +149,7 @@ def j18(v):
 def j20(v):
     c = v.table("customer").select(F.col("c_custkey").alias("player_id"), F.when(F.col("c_custkey") % 3 == 0, "old").alias("club"), F.col("c_nationkey").alias("pending"))
     clubs = v.table("nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("pending"), F.col("n_name").alias("found"))
-    return c.join(F.broadcast(clubs), "pending", "left").select("player_id", F.coalesce("club", "found").alias("club"))
+    return c.join(clubs, "pending", "left").select("player_id", F.coalesce("club", "found").alias("club"))
 
 
 @query("j22_expired_locks", "SELECT r.run_id, m.version IS NULL OR m.version NOT IN ('O') AS removable FROM runs r LEFT JOIN matches m ON r.run_id = m.match_id AND m.mode IS NOT NULL WHERE r.started_at < TIMESTAMP '1997-01-01'")
