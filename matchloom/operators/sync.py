@@ -53,6 +53,14 @@ def value_mismatches(source: DataFrame, target: DataFrame, key: str, value: str)
         ~F.col("source_value").eqNullSafe(F.col("target_value")))
 
 
+def verdict(differences: DataFrame) -> DataFrame:
+    """(check, problems, passed) of keys and of values, from rows (key, side) of ``digests.find_differences``."""
+    other = F.col("side") == "differs"
+    counts = differences.agg(F.count_if(~other).alias("keys"), F.count_if(other).alias("values"))
+    rows = counts.select(F.expr("stack(2, 'keys', keys, 'values', values) AS (check, problems)"))
+    return rows.withColumn("passed", F.col("problems") == 0)
+
+
 def row_checksum(df: DataFrame, columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
 

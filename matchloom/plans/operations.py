@@ -430,10 +430,7 @@ def g33_many(v):
 @query("c29_reconcile_verdict", """SELECT 'keys' AS check, count(*) FILTER (WHERE id % 13 = 0) AS problems, false AS passed FROM source_rows
 UNION ALL SELECT 'values', count(*) FILTER (WHERE id % 13 <> 0 AND id % 17 = 0), false FROM source_rows""")
 def c29(v):
-    keys = sync.symmetric_difference(v.source_rows, v.target_rows, "id").agg(F.lit("keys").alias("check"), F.count("*").alias("problems"))
-    shared = v.source_rows.join(v.target_rows.select("id"), "id", "left_semi")
-    values = sync.value_mismatches(shared, v.target_rows, "id", "price").agg(F.lit("values").alias("check"), F.count("*").alias("problems"))
-    return keys.union(values).withColumn("passed", F.col("problems") == 0)
+    return sync.verdict(digests.find_differences(v.source_rows, v.target_rows, "id", ["price"]).rows)
 
 
 @query("m25_sync_lag", """SELECT event_type AS name, CASE WHEN event_type <> 'view' THEN greatest(0, CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') AS BIGINT)) END AS lag_s FROM events GROUP BY 1""")
