@@ -26,11 +26,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The patterns again, without look-around and without case folding beyond ASCII.
 _NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
 _ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_WORDS = r"(?:(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,})|(?:(?i)abcdefgh|01234567|12345678|qwertyui)"
+_WORDS = r"[A-Za-z0-9]{0,20}(?:(?:(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,})|(?:(?i)abcdefgh|01234567|12345678|qwertyui))[A-Za-z0-9]{0,20}"
 OP1_SQL = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 kinds(kind, rank, pattern) AS (VALUES
-  ('assign', 0, '{_ASSIGN}'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{{24,}}'), ('cand', 9, '[A-Za-z0-9+/_=-]{{20,}}')),
+  ('assign', 0, '{_ASSIGN}'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{{24,}}'), ('cand', 9, '[A-Za-z0-9+/_=-]{{20,}}'),
+  ('chain', 9, '[A-Za-z0-9]+(?:-[A-Za-z0-9]+){{2,}}')),
 found AS (
   SELECT r, t, kind, rank, pattern, regexp_extract_all(t, pattern, 0) AS m, string_split_regex(t, pattern) AS p
   FROM docs, kinds WHERE regexp_matches(t, pattern)),
@@ -42,9 +43,22 @@ base AS (
   SELECT r, kind, rank, CAST(s AS BIGINT) AS s, CAST(s + length(m) AS BIGINT) AS e FROM hits
   WHERE (kind = 'assign' AND length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6)
     OR (kind = 'access' AND length(m) >= 20) OR kind = 'hex'),
+parts AS (
+  SELECT h, r, m, s, i, p, s + list_sum(list_transform(x[1:i], lambda y: length(y))) + i - 1 - length(p) AS pos FROM (
+    SELECT row_number() OVER () AS h, r, m, s, string_split(m, '-') AS x, unnest(string_split(m, '-')) AS p,
+      unnest(range(1, length(m) - length(replace(m, '-', '')) + 2)) AS i
+    FROM hits WHERE kind = 'chain' AND length(m) >= 20)),
+-- parts that follow one another with one length
+runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY h, length(p) ORDER BY i) AS run FROM parts WHERE length(p) BETWEEN 4 AND 8),
+groups AS (
+  SELECT r, string_agg(p, '-' ORDER BY i) AS m, min(pos) AS s FROM runs
+  GROUP BY h, r, length(p), run HAVING count(*) * length(p) >= 20 AND count(*) > 1),
 cand AS (
-  SELECT row_number() OVER () AS c, r, m, CAST(s AS BIGINT) AS pos FROM hits
-  WHERE kind = 'cand' AND regexp_matches(m, '[0-9]')
+  SELECT row_number() OVER () AS c, r, CASE WHEN kind = 'cand' THEN m ELSE replace(m, '-', '') END AS m, CAST(s AS BIGINT) AS pos,
+    kind, length(m) AS whole
+  FROM (SELECT r, m, s, kind FROM hits WHERE kind = 'cand' UNION ALL SELECT r, m, s, 'group' FROM groups)
+  WHERE regexp_matches(m, '[0-9]|[A-Z].*[A-Z]') AND NOT regexp_full_match(m, '[A-Za-z0-9+/]{{0,40}}EXAMPLEKEY')
     AND NOT regexp_full_match(m, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')
     AND NOT (regexp_full_match(m, '[a-z0-9/_-]+') AND NOT regexp_matches(m, '[0-9][a-z]'))
     AND NOT regexp_full_match(m, '[0-9+/_=-]+')),
@@ -57,12 +71,14 @@ windows AS (
   SELECT c, r, pos, k, substr(m, k + 1, 20) AS w, string_split(substr(m, k + 1, 20), '') AS x, marks
   FROM (SELECT c, r, pos, m, marks, unnest(range(0, length(m) - 19)) AS k FROM cand JOIN marks USING (c))),
 judged AS (
-  SELECT *, list_aggregate(x, 'entropy') AS bits,
+  SELECT *, list_aggregate(x, 'entropy') AS bits, length(regexp_replace(w, '[^A-Z]', '', 'g')) AS uppers,
+    len(list_filter(range(2, 21), lambda i: regexp_matches(x[i], '[A-Z]') <> regexp_matches(x[i - 1], '[A-Z]'))) AS cases,
     len(list_filter(range(2, 21), lambda i: regexp_matches(x[i], '[0-9]') <> regexp_matches(x[i - 1], '[0-9]'))) AS turns
-  FROM windows WHERE regexp_matches(w, '[0-9]')
-    AND len(list_filter(marks, lambda q: q.a < k + 40 AND q.a + q.n > k - 20)) = 0),
+  FROM windows WHERE len(list_filter(marks, lambda q: q.a < k + 20 AND q.a + q.n > k)) = 0),
 flagged AS (
   SELECT c, r, pos, k, CASE
+    WHEN NOT regexp_matches(w, '[0-9]') THEN CASE WHEN regexp_full_match(w, '[A-Za-z]+')
+      AND uppers BETWEEN 8 AND 15 AND cases >= 7 AND bits >= 3.7 THEN 4 END
     WHEN regexp_full_match(w, '[0-9a-fA-F]+') THEN CASE WHEN regexp_matches(w, '[a-fA-F]') AND bits >= 3.0 THEN 3 END
     WHEN regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') THEN CASE WHEN bits >= 3.5 THEN 4 END
     WHEN regexp_full_match(w, '[0-9a-z]+') THEN CASE WHEN bits >= 3.4 AND turns >= 5 THEN 5 END
@@ -71,10 +87,12 @@ flagged AS (
 islands AS (
   SELECT *, sum(fresh) OVER (PARTITION BY c, rank ORDER BY k) AS island FROM (
     SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY c, rank ORDER BY k) + 20 THEN 0 ELSE 1 END AS fresh
-    FROM flagged WHERE rank IS NOT NULL)),
+    FROM flagged WHERE rank IS NOT NULL AND c IN (SELECT c FROM cand WHERE kind = 'cand'))),
 entropy AS (
   SELECT r, ['entropy_hex', 'entropy_base64', 'entropy_lower', 'entropy_upper'][rank - 2] AS kind, rank, s, e FROM (
-    SELECT r, c, rank, island, min(pos + k) AS s, max(pos + k) + 20 AS e FROM islands GROUP BY r, c, rank, island)),
+    SELECT r, c, rank, island, min(pos + k) AS s, max(pos + k) + 20 AS e FROM islands GROUP BY r, c, rank, island)
+  UNION ALL SELECT r, 'entropy_groups', 7, pos, pos + whole FROM cand
+  WHERE kind = 'group' AND c IN (SELECT c FROM flagged WHERE rank IS NOT NULL)),
 spans AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM entropy n WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = n.r AND b.s <= n.s AND n.e <= b.e)),

@@ -3,14 +3,22 @@
 Two sources of spans.  *Base* kinds are three patterns (an assignment to a
 secret-like name, a cloud access key id, a long hex string).  The *entropy*
 kinds slide a window over each candidate string (a maximal run of token
-characters that holds a digit) and keep its symbol counts, packed into a few
-longs, by adding the character that enters and taking away the one that
-leaves.  Windows whose Shannon entropy reaches the threshold of their character
-class are flagged; flagged windows of a class that overlap or touch are a span.
+characters that holds a digit, or capitals within small letters) and keep its
+symbol counts, packed into a few longs, by adding the character that enters and
+taking away the one that leaves.  Windows whose Shannon entropy reaches the
+threshold of their character class are flagged; flagged windows of a class that
+overlap or touch are a span.  Windows of letters only need more: a higher
+threshold, many capitals and many changes of case, which names in camel case
+lack.  Groups of equal length, 4 to 8, parted by single dashes, are joined and
+scanned as one; if a window of them is flagged, the whole is a span of its own.
 
 The allow-list suppresses.  A pattern that begins with ``^`` holds for whole
-candidates; any other marks its matches, and windows that reach within one
-window of a mark are not flagged, so a word cannot hide a key further on.
+candidates; any other marks its matches and the letters and digits that touch
+them, one window at most on either side.  Windows that hold a mark are not
+flagged, so a word hides neither a key further on nor one behind a separator.
+
+Not found: keys of letters of one case only, which entropy cannot tell from
+words run together, and keys of fewer characters than a window.
 
 Candidates are scanned in slices that overlap, so a very long one costs time in
 proportion to its length and memory for a slice.
@@ -40,7 +48,7 @@ ASSIGN = (
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: Kinds in the order in which spans that start together are listed.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_groups")
 #: Symbols of candidates; a symbol's place is its number in the counts.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _MARK = "~"
@@ -56,6 +64,8 @@ ALLOW = (
     r"^[0-9+/_=-]+$",
     # placeholders
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}",
+    # the documented sample of a cloud secret key
+    r"^[A-Za-z0-9+/]{0,40}EXAMPLEKEY$",
     # runs of the alphabet or of the digits
     r"(?i)abcdefgh|01234567|12345678|qwertyui",
 )
@@ -77,7 +87,7 @@ def _no_spans() -> Column:
 
 #: Bits of a field of the class counts, and the fields.
 _FIELD = 10
-_HEXES, _DIGITS, _LOWERS, _UPPERS, _TURNS = range(5)
+_HEXES, _DIGITS, _LOWERS, _UPPERS, _TURNS, _CASES = range(6)
 
 
 def _class_code(symbol: str) -> int:
@@ -88,27 +98,29 @@ def _class_code(symbol: str) -> int:
     return sum(1 << (_FIELD * field) for field, yes in held.items() if yes)
 
 
-def _marked(candidate: Column, words: Sequence[str]) -> Column:
-    """The candidate with matches of ``words`` overwritten by marks."""
+def _marked(candidate: Column, words: Sequence[str], window: int) -> Column:
+    """The candidate with matches of ``words``, and what touches them, overwritten by marks."""
     if not words:
         return candidate
-    pattern = "|".join(f"(?:{w})" for w in words)
+    word = "|".join(f"(?:{w})" for w in words)
+    beside = f"[A-Za-z0-9]{{0,{window}}}"
+    pattern = f"{beside}(?:{word}){beside}"
     found = F.regexp_extract_all(candidate, F.lit(pattern), F.lit(0))
     rebuilt = F.array_join(F.zip_with(
         F.split(candidate, pattern, -1), found,
         lambda piece, m: F.concat(piece, F.repeat(F.lit(_MARK), F.coalesce(F.length(m), F.lit(0)))),
     ), "")
-    return F.when(candidate.rlike(pattern), rebuilt).otherwise(candidate)
+    return F.when(candidate.rlike(word), rebuilt).otherwise(candidate)
 
 
 def _slice_spans(
     text: Column, first: Column, last: Column, window: int, hex_bits: float, base64_bits: float, case_bits: float,
-    lower_turns: int, upper_turns: int,
+    lower_turns: int, upper_turns: int, letter_bits: float, letter_uppers: int, letter_lowers: int, letter_turns: int,
 ) -> Column:
     """array<struct<rank, start, end>> of a slice; windows that start at ``first`` to ``last`` - 1 are judged.
 
     State of the fold: packed counts by symbol of the current window, the sum
-    of c * log2(c) over them, packed counts by class, marks within reach, an
+    of c * log2(c) over them, packed counts by class, marks in the window, an
     open span for each class and the closed ones.
     """
     bits = window.bit_length()
@@ -117,17 +129,22 @@ def _slice_spans(
     weight = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
     growth = F.array(*[F.lit(y - x) for x, y in zip(weight, weight[1:], strict=False)])  # of the sum, from one count to the next
     codes = F.array(*[F.lit(_class_code(c)).cast("long") for c in SYMBOLS])
-    ranks = range(3, len(KINDS))
+    ranks = range(3, 7)
+
+    def coded(held: Column) -> Column:
+        """Class codes, with a turn where a digit meets a letter and one where a capital meets another symbol."""
+        def one(code: Column, i: Column) -> Column:
+            other = code.bitwiseXOR(F.coalesce(F.get(held, i - 1), code))
+            return code + F.shiftleft(other.bitwiseAND(1 << (_FIELD * _DIGITS)), _FIELD * (_TURNS - _DIGITS)) + F.shiftleft(
+                other.bitwiseAND(1 << (_FIELD * _UPPERS)), _FIELD * (_CASES - _UPPERS))
+        return F.transform(held, one)
 
     def prepare(chars: Column) -> Column:
         number = F.transform(chars, lambda c: F.instr(F.lit(SYMBOLS), c) - 1)  # -1: a mark
         return let(number, lambda number: F.struct(
             F.transform(number, lambda n: F.when(n >= 0, F.floor(n / per)).otherwise(-1).cast("int")).alias("word"),
             F.transform(number, lambda n: F.pmod(n, F.lit(per)) * bits).alias("shift"),
-            F.transform(number, lambda n, i: F.coalesce(F.get(codes, n), F.lit(0).cast("long")) + F.when(
-                (i > 0) & (F.get(codes, n).bitwiseAND(1 << (_FIELD * _DIGITS))
-                           != F.get(codes, F.get(number, i - 1)).bitwiseAND(1 << (_FIELD * _DIGITS))),
-                F.lit(1 << (_FIELD * _TURNS))).otherwise(0)).alias("code"),
+            let(F.transform(number, lambda n: F.coalesce(F.get(codes, n), F.lit(0).cast("long"))), coded).alias("code"),
             F.transform(number, lambda n: (n < 0).cast("int")).alias("mark"),
             (~F.exists(number, lambda n: n < 0)).alias("clean"),
         ))
@@ -154,8 +171,8 @@ def _slice_spans(
                 F.when(same, acc["mass"]).otherwise(acc["mass"] + gain - loss).alias("mass"),
                 (acc["classes"] + F.get(p["code"], i) - F.when(i >= window, F.get(p["code"], i - window)).otherwise(0)).alias("classes"),
                 F.when(p["clean"], acc["marks"]).otherwise(
-                    acc["marks"] + F.coalesce(F.get(p["mark"], i + window), F.lit(0))
-                    - F.when(i >= 2 * window, F.get(p["mark"], i - 2 * window)).otherwise(0)).alias("marks"),
+                    acc["marks"] + F.get(p["mark"], i)
+                    - F.when(i >= window, F.get(p["mark"], i - window)).otherwise(0)).alias("marks"),
                 acc["open"].alias("open"), acc["closed"].alias("closed"),
             )
 
@@ -179,24 +196,30 @@ def _slice_spans(
             most = math.log2(window)
             hexes, digits, lowers, uppers = map(field, (_HEXES, _DIGITS, _LOWERS, _UPPERS))
             # turns between digits and letters tell a random key from words with a number
-            turns = field(_TURNS) - field(_TURNS, F.get(p["code"], start))
+            turns, cases = (field(of) - field(of, F.get(p["code"], start)) for of in (_TURNS, _CASES))
             entropy = F.lit(most) - acc["mass"] / window
+            letters = (
+                (lowers + uppers == window) & (uppers >= letter_uppers) & (lowers >= letter_lowers)
+                & (cases >= letter_turns) & (entropy >= letter_bits)
+            )
             # no window is of two kinds
             kind = (
-                F.when(hexes == window, F.when((lowers + uppers > 0) & (entropy >= hex_bits), 0).otherwise(-1))
+                F.when(digits == 0, F.when(letters, 1).otherwise(-1))
+                .when(hexes == window, F.when((lowers + uppers > 0) & (entropy >= hex_bits), 0).otherwise(-1))
                 .when((lowers > 0) & (uppers > 0), F.when(entropy >= base64_bits, 1).otherwise(-1))
                 .when((lowers > 0) & (digits + lowers == window), F.when((entropy >= case_bits) & (turns >= lower_turns), 2).otherwise(-1))
                 .when((uppers > 0) & (digits + uppers == window), F.when((entropy >= case_bits) & (turns >= upper_turns), 3).otherwise(-1))
                 .otherwise(-1)
             )
-            least = (most - min(hex_bits, base64_bits, case_bits)) * window + 1e-6
-            asked = (acc["mass"] <= least) & (start >= first) & (start < last) & (acc["marks"] == 0) & (field(_DIGITS) > 0)
+            least = (most - min(hex_bits, base64_bits, case_bits, letter_bits)) * window + 1e-6
+            asked = (acc["mass"] <= least) & (start >= first) & (start < last) & (acc["marks"] == 0) & (
+                (field(_DIGITS) > 0) | (field(_UPPERS) >= letter_uppers))
             return F.when(asked, let(kind, kept)).otherwise(acc)
 
         none = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(-1).alias("start"), F.lit(-1).alias("end")) for r in ranks])
         begin = F.struct(
             F.array(*[F.lit(0).cast("long")] * longs).alias("counts"), F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("classes"),
-            F.aggregate(F.slice(p["mark"], 1, window), F.lit(0), lambda a, x: a + x).alias("marks"),
+            F.lit(0).alias("marks"),
             none.alias("open"), F.array().cast(_OPEN).alias("closed"),
         )
         return F.aggregate(
@@ -217,8 +240,8 @@ def _left(value: Column, shift: Column) -> Column:
     return F.call_function("shiftleft", value, shift)
 
 
-def _entropy(candidate: Column, allow: Sequence[str], window: int, **limits) -> Column:
-    """array<struct<rank, start, end>> of a candidate, by rank and start; spans do not touch."""
+def _entropy(candidate: Column, scanned: Column, allow: Sequence[str], window: int, **limits) -> Column:
+    """array<struct<rank, start, end>> of what is scanned of a candidate, by rank and start; spans do not touch."""
     whole, words = [a for a in allow if a.startswith("^")], [a for a in allow if not a.startswith("^")]
 
     def slices(marked: Column) -> Column:
@@ -245,7 +268,15 @@ def _entropy(candidate: Column, allow: Sequence[str], window: int, **limits) ->
     allowed = F.lit(False)
     for pattern in whole:
         allowed = allowed | candidate.rlike(pattern)
-    return F.when(allowed, F.array().cast(_OPEN)).otherwise(let(let(_marked(candidate, words), slices), joined))
+    return F.when(allowed, F.array().cast(_OPEN)).otherwise(let(let(_marked(scanned, words, window), slices), joined))
+
+
+def _groups(window: int) -> str:
+    """Groups of equal length behind single dashes that hold a window together; possessive, so that none is tried twice."""
+    one = "[A-Za-z0-9]"
+    sizes = "|".join(
+        f"{one}{{{size}}}(?:-{one}{{{size}}}(?!{one})){{{max(-(-window // size) - 1, 1)},}}+" for size in range(4, 9))
+    return f"(?<!{one})(?={one}{{4,8}}-)(?:{sizes})"
 
 
 def find_secrets(
@@ -259,6 +290,10 @@ def find_secrets(
     case_bits: float = 3.4,
     lower_turns: int = 5,
     upper_turns: int = 4,
+    letter_bits: float = 3.7,
+    letter_uppers: int = 8,
+    letter_lowers: int = 5,
+    letter_turns: int = 7,
 ) -> DataFrame:
     """Add ``out_col``: array<struct<start, rank, end, kind>>, by start then kind.
 
@@ -266,12 +301,17 @@ def find_secrets(
     stay.  ``allow`` suppresses the entropy scan only.  Windows of
     digits and letters of one case must reach ``case_bits`` and change between
     digits and letters at least ``lower_turns`` or ``upper_turns`` times.
+    Windows of letters only must reach ``letter_bits``, hold ``letter_uppers``
+    capitals and ``letter_lowers`` small letters and change between them
+    ``letter_turns`` times.
     """
     if not 2 <= window <= 255:
         raise ValueError("window must be 2 to 255")
     run = r"[A-Za-z0-9+/_=-]"
-    candidate = rf"(?<!{run})(?=[A-Za-z+/_=-]*[0-9]){run}{{{window},}}"
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "cand": candidate}
+    # a window of letters only with so many changes of case holds this many capitals behind other symbols
+    rises = f"(?:[A-Z]*+[a-z+/_=-]++[A-Z]){{{max(letter_turns // 2, 1)}}}"
+    candidate = rf"(?<!{run})(?=[A-Za-z+/_=-]*+[0-9]|{rises}){run}{{{window},}}"
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "cand": candidate, "entropy_groups": _groups(window)}
     keep = others(docs.columns, out_col)
     own = free_prefix(docs.columns)
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -304,12 +344,15 @@ def find_secrets(
     )
     df = df.withColumn(f"{own}_base", base)
 
-    limits = {"hex_bits": hex_bits, "base64_bits": base64_bits, "case_bits": case_bits, "lower_turns": lower_turns, "upper_turns": upper_turns}
+    limits = {"hex_bits": hex_bits, "base64_bits": base64_bits, "case_bits": case_bits, "lower_turns": lower_turns, "upper_turns": upper_turns,
+              "letter_bits": letter_bits, "letter_uppers": letter_uppers, "letter_lowers": letter_lowers, "letter_turns": letter_turns}
     scanned = F.zip_with(f"{own}_m_cand", f"{own}_e_cand", lambda m, e: let(e - F.length(m), lambda at: F.transform(
-        _entropy(m, allow, window, **limits), lambda s: F.struct(
+        _entropy(m, m, allow, window, **limits), lambda s: F.struct(
             (at + s["start"]).alias("start"), s["rank"].alias("rank"), (at + s["end"]).alias("end"),
             F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1).alias("kind")))))
-    df = df.withColumn(f"{own}_scan", F.when(F.size(f"{own}_m_cand") > 0, F.flatten(scanned).cast(_SPANS)))
+    grouped = spans("entropy_groups", lambda m: F.size(_entropy(m, F.replace(m, F.lit("-")), allow, window, **limits)) > 0)
+    df = df.withColumn(f"{own}_scan", F.when(
+        (F.size(f"{own}_m_cand") > 0) | (F.size(f"{own}_m_entropy_groups") > 0), F.concat(F.flatten(scanned).cast(_SPANS), grouped)))
 
     added = F.filter(
         F.col(f"{own}_scan"),
