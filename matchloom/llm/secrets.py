@@ -317,9 +317,19 @@ def find_secrets(
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
     df = docs.withColumn(f"{own}_text", t)
-    df = df.select("*", *[
-        F.regexp_extract_all(f"{own}_text", F.lit(p), F.lit(0)).alias(f"{own}_m_{k}") for k, p in patterns.items()
-    ])
+    # few texts hold what a match must: a value behind its sign, or a long run of token characters
+    value = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}"""
+    df = df.select(
+        "*", F.col(f"{own}_text").rlike(value).alias(f"{own}_value"),
+        F.col(f"{own}_text").rlike(f"(?<!{run}){run}{{{min(window, 20)}}}").alias(f"{own}_runs"),
+    )
+
+    def matches(kind: str, pattern: str) -> Column:
+        asked = F.col(f"{own}_value" if kind == "assign" else f"{own}_runs")
+        every = F.regexp_extract_all(f"{own}_text", F.lit(pattern), F.lit(0))
+        return F.when(asked, every).otherwise(F.array().cast("array<string>"))
+
+    df = df.select("*", *[matches(k, p).alias(f"{own}_m_{k}") for k, p in patterns.items()])
     df = df.select("*", *[
         F.when(F.size(f"{own}_m_{k}") > 0, _ends(F.col(f"{own}_text"), p, F.col(f"{own}_m_{k}")))
         .otherwise(F.array().cast("array<int>")).alias(f"{own}_e_{k}")
