@@ -6,11 +6,18 @@ are the ids of the text.  Pieces not met yet are encoded by the library, many
 in a row with a token between them that none of them holds; texts that hold an
 added token's string or white space that could join words across a cut are
 encoded whole.
+
+Where spaces are dropped and letters lower-cased, pieces of Latin letters with
+marks around them are parts that the vocabulary merges each for itself, so
+words are kept once, whatever their case and the marks beside them, and the
+library's merges alone are run for new ones.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +30,11 @@ LONGEST_CACHED = 20
 _ROW = 5000
 #: White space other than space and line break.
 _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Latin letters that are one code point in either case, and the marks of ASCII.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff"
+_MARKS = r"!-/:-@\[-`{-~"
+#: Marks, letters, marks; an apostrophe before letters may belong to them.
+_PARTS = re.compile(rf"(?:([{_MARKS}]*(?<!'))([{_LETTERS}]+))?([{_MARKS}]*)")
 
 
 class PieceTokenizer:
@@ -48,6 +60,29 @@ class PieceTokenizer:
         self._mark = "\n" if spaces else " \x01 "
         (self._mark_id,) = self._ids([self._mark])[0]
         self._seen: dict[str, bytes] = {}
+        self._merge = None if spaces else self._merges()
+
+    def _merges(self):
+        """Ids of letters in lower case, or of marks, by merges alone; None if the vocabulary cuts otherwise."""
+        normalize, cut, model = self._library.normalizer, self._library.pre_tokenizer, self._library.model
+        if normalize is None or cut is None:
+            return None
+        letters = "".join(c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}]", c))
+        marks = "".join(c for c in map(chr, range(128)) if re.fullmatch(f"[{_MARKS}]", c))
+        shown = {c: "".join(p for p, _ in cut.pre_tokenize_str(c)) for c in letters.lower() + marks}
+
+        def parts(text: str) -> list[str]:
+            return [p for p, _ in cut.pre_tokenize_str(normalize.normalize_str(text))]
+
+        sides = ["".join(map(shown.get, letters.lower())), "".join(map(shown.get, marks))]
+        if parts(f"{letters}{marks} {letters}") != [*sides, sides[0]] or parts(f'"{letters}') != [shown['"'], sides[0]]:
+            return None
+        plain = {ord(c): text for c, text in shown.items()}
+
+        def merge(part: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize(part if part.isascii() else part.translate(plain))]).tobytes()
+
+        return merge
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,13 +144,35 @@ class PieceTokenizer:
             out.insert(i, np.array(found, np.uint32))
         return out
 
+    def _merged(self, pieces: list[str], raws: list[bytes | None], new: list[int]) -> tuple[list[int], dict[str, bytes]]:
+        """Fill in the pieces that are letters and marks; the others, and parts not met before."""
+        seen, found, others = self._seen, {}, []
+        for i in new:
+            cut = _PARTS.fullmatch(pieces[i])
+            if cut is None:
+                others.append(i)
+                continue
+            raw = b""
+            before, word, after = cut.groups("")
+            for part in before, word.lower(), after:
+                if part:
+                    one = seen.get(part) or found.get(part)
+                    if one is None:
+                        one = found[part] = self._merge(part)
+                    raw += one
+            raws[i] = raw
+        return others, found
+
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces as bytes."""
         raws = list(map(self._seen.get, pieces))
         new = [i for i, r in enumerate(raws) if r is None]
-        if new:
-            found = self._learn([pieces[i] for i in new])
-            if len(self._seen) + len(new) > self._most:
+        merged: dict[str, bytes] = {}
+        if new and self._merge:
+            new, merged = self._merged(pieces, raws, new)
+        if new or merged:
+            found = self._learn([pieces[i] for i in new]) | merged
+            if len(self._seen) + len(found) > self._most:
                 self._seen.clear()
             for i in new:
                 raws[i] = found[pieces[i]]
