@@ -9,8 +9,14 @@ from ..functions import scalars
 
 
 def participation_facts(participations: DataFrame, matches: DataFrame, teams: DataFrame) -> DataFrame:
-    """Each participation with its match and, if it has one, its team's result."""
-    return participations.join(matches, "match_id").join(teams.select("team_id", "result"), "team_id", "left")
+    """Each participation with its match and, if it has one, its team's result.
+
+    Rows without a team would all meet in one task; they are dealt by their
+    match instead, and the second condition keeps them from any team.
+    """
+    rows, results = participations.join(matches, "match_id"), teams.select(F.col("team_id").alias("_team"), "result")
+    met = (F.coalesce("team_id", "match_id") == F.col("_team")) & F.col("team_id").isNotNull()
+    return rows.join(results, met, "left").drop("_team")
 
 
 def _of_active(facts: DataFrame, entities: DataFrame) -> DataFrame:
