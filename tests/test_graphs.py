@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import graphs
+from matchloom.operators import digests, graphs
 from matchloom.sources import pages
 
 NOW = dt.datetime(2024, 6, 1)
@@ -89,6 +89,25 @@ def test_closure_reaches_grandchildren(family):
     assert prove() == {(p, t): None for p in (1, 2) for t in tables}
 
 
+def test_tables_are_made_once_while_they_are_stored(spark, tmp_path):
+    """The manifest comes from the rows that are written: no second pass, which could see others."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.range(100, numPartitions=3).mapInPandas(count, "id long")
+    empty = spark.range(5).select((F.col("id") + 1).alias("k"), "id").where("k < 0")
+    joined = empty.join(spark.range(9).withColumnRenamed("id", "up"), F.col("id") == F.col("up"), "left_semi")
+    expected = {r["table"]: r for r in graphs.store({"rows": rows, "empty": joined}, str(tmp_path / "c")).collect()}
+    assert made.value == 100
+    assert expected["rows"].rows == 100 and expected["empty"].rows == 0 and expected["empty"].digest_1 == 0
+    again = spark.read.parquet(str(tmp_path / "c" / "rows")).agg(*digests.content_sums(["id"])).first()
+    assert tuple(again) == tuple(expected["rows"])[1:]
+
+
 @pytest.mark.parametrize("table,change,reason", [
     ("kids", lambda df: df.where("kid <> 10"), "row_count_mismatch"),
     ("kids", lambda df: df.union(df.where("kid = 10")), "row_count_mismatch"),
