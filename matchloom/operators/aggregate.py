@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,18 @@ def overall_aggregate(facts: DataFrame, entities: DataFrame) -> DataFrame:
     return stats.withColumn("win_rate", scalars.win_rate(F.col("wins"), F.col("losses")))
 
 
-def matchup_aggregate(participations: DataFrame, matches: DataFrame, teams: DataFrame, entities: DataFrame) -> DataFrame:
-    """By entity, opponent on another team, mode and version.
+def matchup_pairs(
+    participations: DataFrame, matches: DataFrame, teams: DataFrame, entities: DataFrame, rows_per_task: int = 500_000
+) -> DataFrame:
+    """Participations of active entities, each with every one of another entity on another team of its match.
 
     Team results and match attributes are joined before the pairs are made, on
     the smaller side, and pairs meet on the match, so the self-join moves narrow
     rows once.  Opponents may be inactive.
+
+    Pairs outnumber the rows that they are made from, so tasks that are cut by
+    the bytes they read would hold millions.  Rows are counted, and where they
+    are many a task pairs some ``rows_per_task`` of them, whatever their number.
     """
     sided = participations.where("team_id IS NOT NULL").select("match_id", "team_id", "entity_id")
     ours = (
@@ -64,13 +72,29 @@ def matchup_aggregate(participations: DataFrame, matches: DataFrame, teams: Data
         .select("match_id", "team_id", "entity_id", "mode", "version", "result")
     )
     theirs = sided.select("match_id", F.col("team_id").alias("other_team"), F.col("entity_id").alias("opponent_id"))
-    pairs = ours.join(theirs, "match_id").where("team_id <> other_team AND entity_id <> opponent_id")
-    stats = pairs.groupBy("entity_id", "opponent_id", "mode", "version").agg(*outcomes()[:3])
+    tasks = math.ceil(participations.count() / rows_per_task)
+    if tasks > participations.sparkSession.sparkContext.defaultParallelism:  # up to there Spark makes as many
+        ours, theirs = (side.repartition(tasks, "match_id") for side in (ours, theirs))
+    return ours.join(theirs, "match_id").where("team_id <> other_team AND entity_id <> opponent_id")
+
+
+def _matchups(pairs: DataFrame, *keys: str) -> DataFrame:
+    stats = pairs.groupBy("entity_id", "opponent_id", *keys).agg(*outcomes()[:3])
     return stats.withColumn("win_rate", scalars.win_rate(F.col("wins"), F.col("losses")))
 
 
+def matchup_aggregate(participations: DataFrame, matches: DataFrame, teams: DataFrame, entities: DataFrame) -> DataFrame:
+    """By entity, opponent on another team, mode and version."""
+    return _matchups(matchup_pairs(participations, matches, teams, entities), "mode", "version")
+
+
+def pooled_aggregate(participations: DataFrame, matches: DataFrame, teams: DataFrame, entities: DataFrame) -> DataFrame:
+    """Matchups over all modes and versions, counted from the pairs, without a row for each mode and version."""
+    return _matchups(matchup_pairs(participations, matches, teams, entities))
+
+
 def pooled_matchups(matchups: DataFrame) -> DataFrame:
-    """Matchups over all modes and versions."""
+    """Stored matchups over all modes and versions."""
     stats = matchups.groupBy("entity_id", "opponent_id").agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matches", "wins", "losses")]
     )

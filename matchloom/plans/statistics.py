@@ -41,6 +41,10 @@ def matchups(v: Views) -> DataFrame:
     return aggregate.matchup_aggregate(v.participations, v.matches, v.teams, v.entities)
 
 
+def pooled(v: Views) -> DataFrame:
+    return aggregate.pooled_aggregate(v.participations, v.matches, v.teams, v.entities)
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 5) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -113,7 +117,7 @@ SELECT *, {rate()} AS win_rate FROM (
   SELECT entity_id, opponent_id, CAST(sum(matches) AS BIGINT) AS matches, CAST(sum(wins) AS BIGINT) AS wins,
     CAST(sum(losses) AS BIGINT) AS losses FROM pair_stats GROUP BY 1, 2)""")
 def g6(v):
-    return rounded(aggregate.pooled_matchups(matchups(v)), "win_rate")
+    return rounded(pooled(v), "win_rate")
 
 
 @query("g7_participation_slots", "SELECT count(*) AS slots FROM facts")
