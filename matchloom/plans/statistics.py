@@ -211,7 +211,7 @@ FROM (SELECT *, CASE WHEN wins + losses > 0 THEN wins / (wins + losses) END AS r
 
 
 def candidates(v: Views) -> DataFrame:
-    return ranking.matchup_candidates(aggregate.pooled_matchups(matchups(v)))
+    return ranking.matchup_candidates(pooled(v))
 
 
 @query("r4_matchup_candidates", CANDIDATES)
@@ -239,8 +239,8 @@ def p24(v):
     nations = v.catalog.select("entity_id", F.col("nation").cast("long").alias("nation"))
     rows = v.participations.join(nations, "entity_id").drop("entity_id").withColumnRenamed("nation", "entity_id")
     entities = nations.select(F.col("nation").alias("entity_id"), F.lit(True).alias("is_active")).distinct()
-    pooled = aggregate.pooled_matchups(aggregate.matchup_aggregate(rows, v.matches, v.teams, entities))
-    return ranking.qualifying_matchups(ranking.matchup_candidates(pooled)).select("entity_id", "opponent_id", "matches", "win_rate", "relationship")
+    stats = aggregate.pooled_aggregate(rows, v.matches, v.teams, entities)
+    return ranking.qualifying_matchups(ranking.matchup_candidates(stats)).select("entity_id", "opponent_id", "matches", "win_rate", "relationship")
 
 
 RANKED = f"""

@@ -1,9 +1,12 @@
 """Participations with matches and teams: rows without a team."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import aggregate
+from matchloom.plans import registry
 
 
 @pytest.fixture
@@ -88,3 +91,9 @@ def test_pooled_at_once_equals_stored_and_pooled(spark, meetings):
     rows = sorted(at_once.collect(), key=lambda r: (r.entity_id, r.opponent_id))
     assert rows == sorted(stored.collect(), key=lambda r: (r.entity_id, r.opponent_id))
     assert {(r.entity_id, r.opponent_id): (r.matches, r.wins, r.losses) for r in rows} == pairs_made(meetings)
+
+
+@pytest.mark.parametrize("name", ["g13_matchup_coverage"])
+def test_pairs_are_summed_once(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Aggregate \[entity_id#\w+, opponent_id#", plan)) == 1
