@@ -93,7 +93,7 @@ def test_pooled_at_once_equals_stored_and_pooled(spark, meetings):
     assert {(r.entity_id, r.opponent_id): (r.matches, r.wins, r.losses) for r in rows} == pairs_made(meetings)
 
 
-@pytest.mark.parametrize("name", ["g13_matchup_coverage", "g15_nested_matchups"])
+@pytest.mark.parametrize("name", ["g13_matchup_coverage", "g15_nested_matchups", "s20_published_read"])
 def test_pairs_are_summed_once(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Aggregate \[entity_id#\w+, opponent_id#", plan)) == 1
