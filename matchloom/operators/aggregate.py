@@ -58,24 +58,30 @@ def matchup_pairs(
 
     Team results and match attributes are joined before the pairs are made, on
     the smaller side, and pairs meet on the match, so the self-join moves narrow
-    rows once.  Opponents may be inactive.
-
-    Pairs outnumber the rows that they are made from, so tasks that are cut by
-    the bytes they read would hold millions.  Rows are counted, and where they
-    are many a task pairs some ``rows_per_task`` of them, whatever their number.
+    rows once.  Results come first: modes and opponents then meet the rows where
+    they are.  Opponents may be inactive.
+
+    Pairs outnumber the rows that they are made from, and rows the bytes that
+    they are shuffled in, so tasks that are cut by the bytes they read would
+    hold millions.  Rows are counted, and where they are many a task pairs some
+    ``rows_per_task`` of them, whatever their number.  Teams meet their rows in
+    as many tasks, up to the number of shuffle partitions: beyond, the tasks
+    that the teams come from would hold them in memory to sort them by task.
     """
+    session = participations.sparkSession
+    tasks = math.ceil(participations.count() / rows_per_task)
+    many = tasks > session.sparkContext.defaultParallelism  # up to there Spark makes as many
+
+    def dealt(n: int, key: str, *sides: DataFrame) -> list[DataFrame]:
+        return [side.repartition(n, key) if many else side for side in sides]
+
     sided = participations.where("team_id IS NOT NULL").select("match_id", "team_id", "entity_id")
-    ours = (
-        _of_active(sided, entities)
-        .join(matches.where("mode IS NOT NULL").select("match_id", "mode", "version"), "match_id")
-        .join(teams.select("team_id", "result"), "team_id")
-        .select("match_id", "team_id", "entity_id", "mode", "version", "result")
-    )
+    by_team = min(tasks, int(session.conf.get("spark.sql.shuffle.partitions")))
+    ours, results = dealt(by_team, "team_id", _of_active(sided, entities), teams.select("team_id", "result"))
     theirs = sided.select("match_id", F.col("team_id").alias("other_team"), F.col("entity_id").alias("opponent_id"))
-    tasks = math.ceil(participations.count() / rows_per_task)
-    if tasks > participations.sparkSession.sparkContext.defaultParallelism:  # up to there Spark makes as many
-        ours, theirs = (side.repartition(tasks, "match_id") for side in (ours, theirs))
-    return ours.join(theirs, "match_id").where("team_id <> other_team AND entity_id <> opponent_id")
+    modes = matches.where("mode IS NOT NULL").select("match_id", "mode", "version")
+    ours, modes, theirs = dealt(tasks, "match_id", ours.join(results, "team_id"), modes, theirs)
+    return ours.join(modes, "match_id").join(theirs, "match_id").where("team_id <> other_team AND entity_id <> opponent_id")
 
 
 def _matchups(pairs: DataFrame, *keys: str) -> DataFrame:

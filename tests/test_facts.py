@@ -78,6 +78,13 @@ def test_tasks_of_pairs_do_not_grow_with_the_rows(spark, meetings):
         spark.conf.set(held, before)
 
 
+def test_all_joins_of_pairs_are_dealt_by_rows(spark, meetings, shuffled):
+    plan = aggregate.matchup_pairs(*meetings, rows_per_task=100)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((match_id|team_id)#\d+L?, (\d+)\), (\w+)", plan)
+    # a participation moves to its team's result, then once to its match
+    assert sorted(dealt) == [("match_id", "60", "REPARTITION_BY_NUM")] * 3 + [("team_id", "4", "REPARTITION_BY_NUM")] * 2
+
+
 @pytest.mark.parametrize("rows_per_task", [100, 500_000])
 def test_pairs_whatever_their_tasks(spark, meetings, rows_per_task):
     got = aggregate.matchup_pairs(*meetings, rows_per_task=rows_per_task).groupBy("entity_id", "opponent_id").agg(*aggregate.outcomes()[:3])
