@@ -104,3 +104,9 @@ def test_pooled_at_once_equals_stored_and_pooled(spark, meetings):
 def test_pairs_are_summed_once(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Aggregate \[entity_id#\w+, opponent_id#", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["g15_nested_matchups", "s20_published_read"])
+def test_rows_move_to_their_match_once(spark, sf_dir, shuffled, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(match_id#\w+, \d+\)", plan)) == 3  # rows, modes, opponents
