@@ -2,11 +2,14 @@
 
 import datetime as dt
 import random
+import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import digests, graphs
+from matchloom.plans import registry, retention_graphs
 from matchloom.sources import pages
 
 NOW = dt.datetime(2024, 6, 1)
@@ -123,6 +126,59 @@ def test_harm_is_found(family, table, change, reason):
     assert got[1, table] == got[2, table] == reason
 
 
+def test_each_pass_reads_the_files_again(spark, family):
+    """What happens to the files after the first pass is found by the second: it is no copy of the first."""
+    tables, children, path, _, tmp = family
+    expected, asked = spark.read.parquet(f"{path}/_manifest.parquet"), []
+
+    def where(name):
+        if name == "anchors" and asked[-1:] == ["grand"]:  # the second pass begins
+            spark.read.parquet(f"{path}/kids").where("kid <> 10").write.parquet(str(tmp / "late"))
+            shutil.rmtree(f"{path}/kids")
+            shutil.move(tmp / "late", f"{path}/kids")
+        asked.append(name)
+        return f"{path}/{name}"
+
+    found = graphs.prove(spark, expected, where, "anchors", tables["anchors"], "id", children)
+    assert {(r["pass"], r.table): r.reason for r in found.collect()} == {
+        (1, "anchors"): None, (1, "kids"): None, (1, "grand"): None, (2, "anchors"): None, (2, "kids"): "row_count_mismatch", (2, "grand"): "fk_closure_violation"}
+
+
+def test_copies_are_proved_side_by_side(spark, family):
+    tables, children, path, _, tmp = family
+    spark.read.parquet(f"{path}/grand").where("g <> 11").write.parquet(str(tmp / "short"))
+    copies = {"good": lambda n: f"{path}/{n}", "short": lambda n: str(tmp / "short") if n == "grand" else f"{path}/{n}", "none": lambda n: str(tmp / "nowhere")}
+    found = graphs.prove_copies(spark, spark.read.parquet(f"{path}/_manifest.parquet"), copies, "anchors", tables["anchors"], "id", children)
+    reasons = {(r["copy"], r["pass"], r.table): r.reason for r in found.collect()}
+    assert reasons == {
+        (c, p, t): "missing_child_table" if c == "none" else "row_count_mismatch" if (c, t) == ("short", "grand") else None for c in copies for p in (1, 2) for t in tables}
+
+
+def test_graph_proof_has_the_whole_graph_twice(spark, tmp_path):
+    """Observations belong to the graph of a match; here the match that is harmed, 7, has none."""
+    day = dt.datetime(1999, 1, 1)
+    tables = {
+        "orders": ([(7, 1, day, "F", "1-URGENT"), (8, 1, day, "F", "1-URGENT"), (9, 2, dt.datetime(2001, 8, 1), "O", "1-URGENT"), (12, 2, day, "P", "5-LOW")],
+                   "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(k, n, n, n, 1.5, day) for k in (7, 8, 9) for n in (1, 2, 7)],
+                     "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp_ntz"),
+        "events": ([(i, 1, day, "view") for i in (8, 5008, 12, 9, 4)], "event_id long, user_id long, ts timestamp_ntz, event_type string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = registry.queries()["c19_graph_proof"](spark, str(tmp_path))
+    got = {(r.harm, r["pass"], r.table): (r.expected_rows, r.rows, r.reason) for r in df.collect()}
+    whole = {"matches": 3, "teams": 4, "participations": 6, "observations": 3}
+    assert got.keys() == {(h, p, t) for h in ("none", *retention_graphs.HARM) for p in (1, 2) for t in whole}
+    assert all(got["none", p, t] == (n, n, None) for p in (1, 2) for t, n in whole.items())
+    assert [got["wrong_anchor", 2, t][2] for t in whole] == ["anchor_set_mismatch", "fk_closure_violation", "fk_closure_violation", None]
+    want = con.execute(registry.oracle_sql()["c19_graph_proof"]).fetchdf().to_dict("records")
+    named = {(r["harm"], r["pass"], r["table"]): (r["expected_rows"], r["rows"], r["reason"]) for r in want}
+    assert got == {k: tuple(None if v != v else v for v in row) for k, row in named.items()}
+
+
 def test_a_missing_table(family):
     _, _, _, prove, tmp = family
     assert prove(grand=str(tmp / "nowhere"))[2, "grand"] == "missing_child_table"
